@@ -45,3 +45,35 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     warm = left.join(hot, on, "left_semi").join(few, on, how)
     cold = left.join(hot, on, "left_anti").join(right, on, how)
     return cold.unionByName(warm)
+
+
+#: A group of at most this many rows is compared within one task; a larger one is cut into tiles.
+TILE = 4_096
+
+
+def self_pairs(rows: DataFrame, key: str, ident: str, condition=None, band=None, tile: int = TILE) -> DataFrame:
+    """Pairs (``a``, ``b``) of rows as structs with equal ``key`` and a.ident < b.ident for which ``condition(a, b)`` holds.
+
+    A key with more than ``tile`` rows is cut into tiles, by ``band(row)`` if given (rows can pair only within
+    a band or with the next one) and by a hash of ``ident``; each pair of tiles is its own join key, so no task holds a whole large group and none of its pairs is lost.
+    """
+    fields = [c for c in rows.columns if c != key]
+    a, b = (rows.select(key, F.struct(*fields).alias(x)) for x in "ab")
+    check = condition or (lambda x, y: F.lit(True))
+    ordered = F.col(f"a.{ident}") < F.col(f"b.{ident}")
+    crowded = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile)
+    crowded = crowded.select(key, F.ceil(F.col("_n") / tile).cast("int").alias("_parts")).persist()
+    if crowded.isEmpty():
+        crowded.unpersist()
+        return a.join(b, key).where(ordered & check(F.col("a"), F.col("b"))).select("a", "b")
+    cold = a.join(crowded, key, "left_anti").join(b, key).where(ordered & check(F.col("a"), F.col("b"))).select("a", "b")
+    full = rows.join(crowded, key).withColumn("_b", band(rows) if band else F.lit(0)).withColumn("_p", F.pmod(F.xxhash64(ident), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left = full.withColumn("_q", every).withColumn("_c", F.explode(F.array("_b", F.col("_b") + 1)) if band else F.col("_b"))
+    left = left.select(key, F.col("_b").alias("_lb"), F.col("_p").alias("_lp"), F.col("_c").alias("_rb"), F.col("_q").alias("_rp"), F.struct(*fields).alias("a"))
+    right = full.withColumn("_q", every).withColumn("_c", F.explode(F.array(F.col("_b") - 1, "_b")) if band else F.col("_b"))
+    right = right.select(key, F.col("_c").alias("_lb"), F.col("_q").alias("_lp"), F.col("_b").alias("_rb"), F.col("_p").alias("_rp"), F.struct(*fields).alias("b"))
+    hot = left.join(right, [key, "_lb", "_lp", "_rb", "_rp"]).where(((F.col("_lb") < F.col("_rb")) | ordered) & check(F.col("a"), F.col("b")))
+    swap = ~ordered
+    hot = hot.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return cold.unionByName(hot)
