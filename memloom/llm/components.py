@@ -25,18 +25,18 @@ def _clusters(edges: DataFrame, level: int, beta: float, radius: int) -> DataFra
     That is the cluster which reaches v first if u starts to grow at time radius - shift(u). Offers are
     combined before the shuffle, so a vertex of any degree receives one row from each task.
     """
-    arcs = edges.select(F.explode(F.array(F.struct(F.col("x").alias("s"), F.col("y").alias("t")), F.struct(F.col("y").alias("s"), F.col("x").alias("t")))).alias("e")).select("e.s", "e.t").persist()
-    state = arcs.select(F.col("s").alias("v")).distinct().select("v", F.struct(_shift(F.col("v"), level, beta, radius).alias("score"), F.col("v").alias("c")).alias("best")).persist()
-    kept, hubs = [arcs, state], hot_keys(arcs, ["s"])
+    arcs = edges.select(F.explode(F.array(F.struct(F.col("x").alias("s"), F.col("y").alias("t")), F.struct(F.col("y").alias("s"), F.col("x").alias("t")))).alias("e")).select("e.s", "e.t")
+    hubs = hot_keys(arcs, ["s"])
+    state = arcs.select(F.col("s").alias("v")).distinct().select("v", F.struct(_shift(F.col("v"), level, beta, radius).alias("score"), F.col("v").alias("c")).alias("best"))
+    state = materialize(state, "state")
     for _ in range(radius):
         far = state.where("best.score >= 1").select(F.col("v").alias("s"), F.struct((F.col("best.score") - 1).alias("score"), F.col("best.c").alias("c")).alias("best"))
         offers = skew_join(arcs, far, ["s"], hot=hubs).select(F.col("t").alias("v"), "best")
-        state = state.unionByName(offers).groupBy("v").agg(F.max("best").alias("best")).persist()
-        kept.append(state)
-    out = materialize(state.select("v", F.col("best.c").alias("c")), "cluster")
-    for df in kept:
-        df.unpersist()
-    return out
+        # Written at each step: a plan that held the steps before would double with each of them.
+        grown = materialize(state.unionByName(offers).groupBy("v").agg(F.max("best").alias("best")), "state")
+        discard(state)
+        state = grown
+    return state.select("v", F.col("best.c").alias("c"))
 
 
 def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", beta: float = BETA, radius: int = RADIUS) -> DataFrame:
