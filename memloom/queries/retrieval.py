@@ -152,8 +152,8 @@ px as (select id src, unnest(part_of) e, generate_subscripts(part_of, 1) - 1 pos
 mb as (select src, pos, e.topic topic, e.w w from px where coalesce(e.topic, '') <> ''),
 pri as (select * from (values {_PRIORS}) t(rel, beta)),
 tm as (select src u, dst v, coalesce(w, 0.5) * coalesce(beta, 0.5) c from ed left join pri on pri.rel = coalesce(ed.rel, 'relates_to') union all select src, topic, coalesce(w, 0.7) * 0.7 from mb),
-ok as (select * from tm where u <> v and c > 0 and v in (select id from vx)),
-cd as (select u, v, sum(c) c from (select u, v, c from ok union all select v, u, c from ok) group by u, v),
+okc as (select * from tm where u <> v and c > 0 and v in (select id from vx)),
+cd as (select u, v, sum(c) c from (select u, v, c from okc union all select v, u, c from okc) group by u, v),
 st as (select u, v, c / sum(c) over (partition by u) p from cd)"""
 
 SEEDS = f"""
