@@ -143,7 +143,7 @@ def merge_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every extraction of a unit taken as an item that restates its node's summary by its first line."""
     units = table(spark, sf_dir, "units").where("text is not null")
-    items = units.select(F.col("extracted_at").alias("seq"), "id", F.when(F.col("kind") == "section", F.col("kind")).alias("type"), F.regexp_extract("text", r"[^\s].*", 0).alias("summary"), "content_sha", F.lit(None).cast("double").alias("confidence")).distinct()
+    items = units.select(F.col("extracted_at").alias("seq"), "id", F.when(F.col("kind") == "section", F.col("kind")).alias("type"), F.regexp_extract("text", r"[^\s][^\r\n]*", 0).alias("summary"), "content_sha", F.lit(None).cast("double").alias("confidence")).distinct()
     return ops.applied_items(items, vertices(table(spark, sf_dir, "nodes"), "source_hash", "summary", "confidence"))
 
 
@@ -287,7 +287,7 @@ r as (select *, row_number() over (partition by kind order by salience desc, id)
 select a, b, x.rank rank_a, y.rank rank_b, x.confidence confidence_a, y.confidence confidence_b, x.status status_a, y.status status_b from p join i x on x.id = a join i y on y.id = b""",
     "source_contradicted": rf"{_G} select id, {_RANK} as rank, substr(trim(regexp_replace(coalesce(summary, ''), '\s+', ' ', 'g')), 1, 200) summary from vx where verification.status = 'contradicted'",
     "merge_actions": f"{_G}, {_RES}, {_DEG}, {_PROT}, {_SURV} select drop_id, survivor from sv",
-    "apply_items": rf"""{_G}, it as (select distinct extracted_at seq, id, case when kind = 'section' then kind end as type, regexp_extract(text, '[^\s].*', 0) summary, content_sha from units where text is not null and id is not null),
+    "apply_items": rf"""{_G}, it as (select distinct extracted_at seq, id, case when kind = 'section' then kind end as type, regexp_extract(text, '[^\s][^\r\n]*', 0) summary, content_sha from units where text is not null and id is not null),
 o as (select it.*, vx.summary old, vx.confidence sure, case when vx.id is null then case when it.type is not null then 'created' else 'skipped_missing' end when it.content_sha is not null and it.content_sha is distinct from vx.source_hash then 'skipped_stale' else 'updated' end outcome from it left join vx using (id))
 select id, outcome, count(*) items, coalesce(arg_max(summary, row(seq, summary)) filter (outcome not like 'skipped%'), max(old)) summary, greatest(0, least(1, coalesce(max(sure), 0.7))) confidence from o group by 1, 2""",
     "note_ids": f"{_G} select id, 'note:' || substr(sha256(concat_ws(chr(31), type, trim(summary), trim(coalesce(body, '')), array_to_string(list_sort(coalesce(tags, [])), ','))), 1, 8) note_id from vx where source_kind = 'authored' and summary is not null",

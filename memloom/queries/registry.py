@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.queries import hierarchies
+from memloom.queries import graphs, hierarchies, learning, reconciling, retrieval
 
-_MODULES = (hierarchies,)
+_MODULES = (hierarchies, retrieval, graphs, reconciling, learning)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q.strip() for m in _MODULES for k, q in m.SQL.items()}
-FLAGSHIP = "p4_found"
+FLAGSHIP = "retrieve_pack"
