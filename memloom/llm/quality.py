@@ -56,7 +56,7 @@ def _running(words: list[str], common: int, stop: bool) -> bool:
 
 
 def text_statistics(text: str) -> tuple[str | None, list[int]] | None:
-    """The language that the common words speak for (None if none does) and the values of ``STATISTICS``; None for a text that is null or blank."""
+    """The language that at least two different common words speak for (else None) and the values of ``STATISTICS``; None for a text that is null or blank."""
     if not text or text.isspace():
         return None
     low = text.replace("\r\n", "\n").lower()
@@ -118,7 +118,7 @@ def text_statistics(text: str) -> tuple[str | None, list[int]] | None:
         round(1000 * common / n) if n else 0, *(round(1000 * x / max(1, lines)) for x in (lists, rows)), round(1000 * repeated),
         round(1000 * body.count("_") / dense), n // max(1, lines), round(1000 * share), int(share > 0.5),
     ]
-    return (lang if hits[lang] else None), values
+    return (lang if hits[lang] > 1 else None), values
 
 
 _TAGS = frozenset(_COMMON)
@@ -141,7 +141,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_statistics(documents: DataFrame) -> DataFrame:
     """(doc_id, language, ...``STATISTICS``) of every document with some text that is not blank.
 
-    Counted over the whole text, front matter left out. language is the one whose common words are most, else
+    Counted over the whole text, front matter left out. language is the one whose common words are most (two different ones at least), else
     the first part of ``lang`` if it is one of ours, else ``und``. Shares are in thousandths and the mean word length in hundredths,
     so ties are exact. Rows with a null doc_id are dropped; null, empty and blank texts give no row; other columns are not read.
     """
@@ -172,7 +172,9 @@ SMALL_TABLE = 400_000
 #: At most this many labelled rows are used to weigh the statistics; of more, those of the smallest hash.
 LABELLED = 20_000
 #: What the weights are drawn to when there are few labels: the majority of the text decides.
-_PRIOR_BIAS, _PRIOR_MAJORITY, _PULL = -3.0, 5.0, 2.0
+_PRIOR_BIAS, _PRIOR_MAJORITY = -3.0, 5.0
+#: How hard: the bias and the majority give way to a few labels, the other weights only to many, since some labels are wrong.
+_PULL, _PULL_OTHERS = 2.0, 50.0
 
 
 def _unpivoted(stats: DataFrame) -> DataFrame:
@@ -185,10 +187,12 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     prior = np.zeros(x.shape[1] + 1)
     prior[0], prior[-1] = _PRIOR_BIAS, _PRIOR_MAJORITY
     z, w = np.column_stack([np.ones(len(x)), x]), prior.copy()
+    pull = np.full(len(w), _PULL_OTHERS)
+    pull[0] = pull[-1] = _PULL
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + _PULL * (w - prior)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + _PULL * np.eye(len(w)), grad)
+        grad = z.T @ (p - y) + pull * (w - prior)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -196,7 +200,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def outlier_scores(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(doc_id, language, ...``STATISTICS``, outlier, score): how far each document lies out among those of its language.
+    """(doc_id, language, ...``STATISTICS``, outlier, score): how far each document lies out among those of its language (among all if it has none).
 
     ``outlier`` is the sum over the statistics of the larger of -ln of its two empirical tail
     probabilities. ``score`` weighs the tails: above 0 a document is taken for not running prose.
@@ -205,7 +209,9 @@ def outlier_scores(documents: DataFrame, labels: DataFrame | None = None) -> Dat
     """
     stats = materialize(document_statistics(documents).withColumn("row", F.monotonically_increasing_id()), "stats")
     long = _unpivoted(stats)
-    ranks = materialize(tail_probabilities(long, ["language", "stat"], "value"), "ranks")
+    # Documents in no known language are nearly all of one kind: they are ranked among all documents.
+    among = long.withColumn("language", F.explode(F.array_distinct(F.array("language", F.lit("und")))))
+    ranks = materialize(tail_probabilities(among, ["language", "stat"], "value"), "ranks")
     small = ranks.count() <= SMALL_TABLE
     low, high = (-F.log("at_most")).alias("low"), (-F.log("at_least")).alias("high")
     joined = lambda rows: (rows.join(F.broadcast(ranks), ["language", "stat", "value"]) if small else skew_join(rows, ranks, ["language", "stat", "value"]))
