@@ -66,7 +66,7 @@ SQL = {
     "p4_found": _PARENTS + " select par.id node_id, coalesce(root, '') root_id, cast(coalesce(depth, -1) as integer) depth from par left join ended using (id) where p is not null",
     "p4_paths": _PARENTS
     + """ select par.id node_id, case when p is null then par.id else coalesce(root, '') end root_id, cast(case when p is null then 0 else coalesce(depth, -1) end as integer) depth,
-  case when p is null then par.id else array_to_string(list_append(path, par.id), chr(10)) end path from par left join ended using (id)""",
+  case when p is null then par.id when root is not null then array_to_string(list_append(path, par.id), chr(10)) end path from par left join ended using (id)""",
     "p4_descendants": _PARENTS + " select ancestor_id, id node_id, cast(depth - pos + 1 as integer) distance from (select id, depth, unnest(path) ancestor_id, generate_subscripts(path, 1) pos from ended)",
     "p7_found": _STATES + " select snap_no, id, case when added then 'added' when removed then 'removed' else 'changed' end change from j where added or removed or dh",
     "p7_fields": _STATES
