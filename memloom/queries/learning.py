@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from memloom.functions.text import slug, tokens
 from memloom.operators import learning as ops
 from memloom.operators.graph import degrees, resolved
-from memloom.operators.similar import cosine_top, shared_tokens, token_near_duplicates
+from memloom.operators.similar import cosine_top, lexical_top, shared_tokens, token_near_duplicates
 from memloom.plans import config
 from memloom.plans.frames import edges, memberships, vertices
+from memloom.plans.retrieve import corpus
 from memloom.queries.graphs import protected_nodes
-from memloom.queries.retrieval import _START, BASE, GRAPH, _active, _asked, _masses, _packed, _ppr, _seeds, retrieve_pack
+from memloom.queries.retrieval import _START, BASE, GRAPH, SEEDS, _active, _asked, _masses, _packed, _ppr, _seeds, retrieve_pack
 from memloom.session import materialize, table
 
 SETTINGS = config.profile()
@@ -26,11 +27,19 @@ def cosine_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of unfiled nodes of different files that share two rare words or more, from a similarity of 0.35 on."""
+    """Pairs of nodes not derived from a file that share two rare words or more of their summaries, from a similarity of 0.35 on: near texts, not the linker's nominees (``lexical_nominees``)."""
     rows = vertices(table(spark, sf_dir, "nodes"), "summary", "status", "source_kind").where("source_kind <> 'derived_from_file' and trim(coalesce(summary, '')) <> '' and coalesce(status, 'active') <> 'stale'")
     return shared_tokens(rows.select("id", tokens(F.col("summary")).alias("tokens"))).where("jaccard >= 0.35").select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
+def lexical_nominees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linker without vectors: for every node with a summary that is not stale the five most similar nodes, by the words it is found by, of another bucket or another file, that are neither linked nor judged."""
+    nodes = table(spark, sf_dir, "nodes")
+    rows = vertices(nodes, "summary", "status", "bucket", "source_path").where("trim(coalesce(summary, '')) <> '' and coalesce(status, 'active') <> 'stale'")
+    docs = rows.join(corpus(nodes), "id").select("id", "tokens", "bucket", F.col("source_path").alias("path"))
+    return lexical_top(docs, link_pairs(spark, sf_dir), SETTINGS["linker_top"])
+
+
 def _episodic(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return vertices(table(spark, sf_dir, "nodes"), "type", "source_kind", *columns).where(F.col("type").isin(*SETTINGS["episodic"]) & (F.coalesce("source_kind", F.lit("")) != "derived_from_file"))
 
@@ -223,7 +232,7 @@ def membership_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_candidates, lexical_candidates, near_duplicates, link_pairs, link_batches, judged_batches, usage_pairs, usage_attribution, coactivation_counts, fold_weights, salience_rank, digest_top, contradictions, source_contradicted,
+        cosine_candidates, lexical_candidates, lexical_nominees, near_duplicates, link_pairs, link_batches, judged_batches, usage_pairs, usage_attribution, coactivation_counts, fold_weights, salience_rank, digest_top, contradictions, source_contradicted,
         merge_actions, apply_items, note_ids, schema_migration, eval_recall, eval_means, pattern_metrics, gate_deltas, membership_slugs,
     )
 }
@@ -265,6 +274,12 @@ r as (select *, row_number() over (partition by id order by sim desc, other desc
 t as (select id, w from (select id, unnest(ws) w from d) where length(w) >= 3), sz as (select id, count(*) n from t group by 1), ok as (select w from t group by 1 having count(*) <= greatest(4, (select count(*) from d) // 4)),
 p as (select x.id a, y.id b, count(*) shared from t x join t y on x.w = y.w and x.id < y.id where x.w in (from ok) group by 1, 2 having count(*) >= 2)
 select a, b, shared, round(shared / (s.n + u.n - shared), 6) jaccard from p join sz s on s.id = a join sz u on u.id = b where shared / (s.n + u.n - shared) >= 0.35""",
+    "lexical_nominees": rf"""{_G},{SEEDS}, lp as (select distinct least(x, y) a, greatest(x, y) b from (select src x, dst y from ed union all select a, b from duplicate_pairs where verdict is not null) where x is not null and y is not null and x <> y),
+d as (select id, list_distinct(ws) ws, coalesce(bucket, '?') g, coalesce(source_path, '') f from tx join vx using (id) where trim(coalesce(summary, '')) <> '' and coalesce(status, 'active') <> 'stale'),
+t as (select id, w from (select id, unnest(ws) w from d) where length(w) >= 3), ok as (select w from t group by 1 having count(*) <= greatest(4, (select count(*) from d) // 4)),
+p as (select x.id a, y.id b, count(*) shared from t x join t y on x.w = y.w and x.id < y.id where x.w in (from ok) group by 1, 2 having count(*) >= 2),
+q as (select p.a, p.b, printf('%.4f', shared / len(list_distinct(list_filter(x.ws || y.ws, lambda w: length(w) >= 3))))::double sim from p join d x on x.id = a join d y on y.id = b anti join lp on lp.a = p.a and lp.b = p.b where x.g <> y.g or (x.f <> y.f and x.f <> '' and y.f <> '')),
+r as (select *, row_number() over (partition by id order by sim desc, other) rank from (select a id, b other, sim from q union all select b, a, sim from q)) select id, other, cast(rank as integer) rank, sim from r where rank <= 5""",
     "near_duplicates": f"""{_G}, d as (select id, {_TOK.format("coalesce(summary, '') || ' ' || substr(coalesce(body, ''), 1, 400)")} ws from vx where {_EPI}), t as (select id, unnest(ws) w from d),
 p as (select x.id a, y.id b, count(*) i from t x join t y on x.w = y.w and x.id < y.id group by 1, 2)
 select a, b, round(i / (len(x.ws) + len(y.ws) - i), 6) sim from p join d x on x.id = a join d y on y.id = b where i / (len(x.ws) + len(y.ws) - i) >= 0.82""",

@@ -10,7 +10,7 @@ from memloom.operators.bm25 import bm25, normalised
 from memloom.operators.graph import closure, degrees, isolated, min_labels, reachable
 from memloom.operators.ordering import global_positions
 from memloom.operators.pagerank import personalized_pagerank, transition
-from memloom.operators.similar import cosine_top, shared_tokens, token_near_duplicates
+from memloom.operators.similar import cosine_top, lexical_top, shared_tokens, token_near_duplicates
 from memloom.operators.skew import hot_keys, self_pairs, skew_join
 from memloom.operators.units import longest_module, module_names, paired_moves, queue_batches, repaired_targets
 from memloom.plans import config
@@ -138,6 +138,39 @@ def test_similarity_against_brute_force(spark):
         assert {(x["id"], x["other"]) for x in cosine_top(v, 4, 0.3, block).collect()} == want
 
 
+def test_lexical_nominees_of_all_eligible_rows(spark):
+    r = random.Random(11)
+    docs = [(f"n{i:02}", [r.choice("apple birch cedar daisy elder fern grape hazel iris jade kelp lime".split()) for _ in range(r.randrange(1, 6))] + ["common", "to"], r.choice(["code", "doc", None]), r.choice(["a.md", "b.md", "", None])) for i in range(60)]
+    known = [(f"n{a:02}", f"n{b:02}") for a, b in (r.sample(range(60), 2) for _ in range(200))] + [("n01", "gone"), (None, "n02")]
+    words = {d[0]: {t for t in d[1] if len(t) >= 3} for d in docs}
+    often = {t for ws in words.values() for t in ws if sum(t in o for o in words.values()) > 15}
+    assert "common" in often
+    barred, want = {frozenset(k) for k in known}, set()
+    for a, _, ga, fa in docs:
+        near = []
+        for b, _, gb, fb in docs:
+            shared = len((words[a] & words[b]) - often)
+            if a != b and shared >= 2 and ((ga or "?") != (gb or "?") or (fa and fb and fa != fb)) and frozenset((a, b)) not in barred:
+                near.append((-round(shared / len(words[a] | words[b]), 4), b))
+        want |= {(a, b, i, -s) for i, (s, b) in enumerate(sorted(near)[:5], 1)}
+    assert any(s < 0.35 for *_, s in want) and len(want) > 100
+    rows = spark.createDataFrame(docs, "id string, tokens array<string>, bucket string, path string")
+    pairs = spark.createDataFrame(known, "a string, b string")
+    for block in (1000, 16):
+        assert {tuple(x) for x in lexical_top(rows, pairs, 5, block=block).collect()} == want
+    assert lexical_top(rows.where("false"), pairs, 5).count() == 0
+
+
+def test_nominees_see_nodes_of_files(spark, tmp_path):
+    from memloom.queries.learning import lexical_nominees
+
+    node = "id string, summary string, status string, bucket string, source_path string, source_kind string, body string, tags array<string>, part_of array<struct<topic: string, w: double>>, edges array<struct<rel: string, to: string, w: double, coact: int, last_used: string, origin: string>>"
+    rows = [(f"doc:x{i}", s, st, "doc", f"{i}.md", "derived_from_file", None, None, None, None) for i, (s, st) in enumerate([("red kite bird", None), ("red kite sky blue green", "active"), ("red kite bird", "stale"), (" ", None)])]
+    spark.createDataFrame(rows, node).write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([], "a string, b string, verdict string").write.parquet(f"{tmp_path}/duplicate_pairs.parquet")
+    assert {tuple(r)[:3] for r in lexical_nominees(spark, str(tmp_path)).collect()} == {("doc:x0", "doc:x1", 1), ("doc:x1", "doc:x0", 1)}
+
+
 def test_units(spark):
     names = module_names(spark.createDataFrame([("src/pkg/util.py",), ("lib/other/util.py",), ("src/pkg/__init__.py",)], "path string"))
     assert {r["name"]: r["path"] for r in names.collect()} == {"src.pkg.util": "src/pkg/util.py", "pkg.util": "src/pkg/util.py", "lib.other.util": "lib/other/util.py", "other.util": "lib/other/util.py", "src.pkg": "src/pkg/__init__.py", "pkg": "src/pkg/__init__.py"}
