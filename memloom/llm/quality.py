@@ -203,7 +203,7 @@ def outlier_scores(documents: DataFrame, labels: DataFrame | None = None) -> Dat
     """(doc_id, language, ...``STATISTICS``, outlier, score): how far each document lies out among those of its language (among all if it has none).
 
     ``outlier`` is the sum over the statistics of the larger of -ln of its two empirical tail
-    probabilities. ``score`` weighs the tails: above 0 a document is taken for not running prose.
+    probabilities. ``score`` weighs the tails of all but the last statistic, whose value (0 or 1) counts itself: above 0 a document is taken for not running prose.
     The weights are a logistic regression on at most ``LABELLED`` labelled documents (label ``prose`` or ``not_prose``; of several labels for a document the majority, none if
     equal), drawn to fixed values, which alone count where there are no labels. Ranks and scores are over all documents with text. A repeated doc_id has one row for each of its rows.
     """
@@ -216,16 +216,19 @@ def outlier_scores(documents: DataFrame, labels: DataFrame | None = None) -> Dat
     low, high = (-F.log("at_most")).alias("low"), (-F.log("at_least")).alias("high")
     joined = lambda rows: (rows.join(F.broadcast(ranks), ["language", "stat", "value"]) if small else skew_join(rows, ranks, ["language", "stat", "value"]))
     n = len(STATISTICS)
+    # The majority speaks by its value: its tail would be the share of its own kind in the language, which weighs nothing where most documents are not prose.
+    rule = F.col("stat") == n - 1
+    says = F.when(rule, F.lit(0.0)).otherwise(-F.log("at_most")).alias("low"), F.when(rule, F.col("value").cast("double")).otherwise(-F.log("at_least")).alias("high")
     bias, weights = _PRIOR_BIAS, np.concatenate([np.zeros(2 * n - 1), [_PRIOR_MAJORITY]])
     if labels is not None:
         votes = labels.where("doc_id is not null and label in ('prose', 'not_prose')").groupBy("doc_id").agg(F.sum(F.when(F.col("label") == "prose", -1).otherwise(1)).alias("vote")).where("vote <> 0")
         votes = materialize(votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "votes")
-        seen = joined(long.join(F.broadcast(votes), "doc_id")).select("row", "vote", "stat", low, high).toPandas()
+        seen = joined(long.join(F.broadcast(votes), "doc_id")).select("row", "vote", "stat", *says).toPandas()
         if len(seen):
             seen = seen.sort_values(["row", "stat"])
             x = seen[["low", "high"]].to_numpy().reshape(-1, n, 2).transpose(0, 2, 1).reshape(-1, 2 * n)
             bias, weights = _fit(x, (seen["vote"].to_numpy()[::n] > 0).astype(float))
     at = lambda ws: F.element_at(F.array(*[F.lit(float(w)) for w in ws]), F.col("stat") + 1)
-    scored = joined(long.drop("doc_id")).select("row", F.greatest(low, high).alias("tail"), (at(weights[:n]) * low + at(weights[n:]) * high).alias("part"))
+    scored = joined(long.drop("doc_id")).select("row", F.greatest(low, high).alias("tail"), (at(weights[:n]) * says[0] + at(weights[n:]) * says[1]).alias("part"))
     scored = scored.groupBy("row").agg(F.sum("tail").alias("outlier"), (F.sum("part") + F.lit(bias)).alias("score"))
     return stats.join(scored, "row").drop("row")

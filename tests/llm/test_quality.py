@@ -50,3 +50,19 @@ def test_scores_tell_kinds_apart(spark):
     assert document_statistics(docs).columns == ["doc_id", "language", *STATISTICS]
     assert outlier_scores(docs.where("false"), labels).count() == 0
     assert docs.select(F.max("doc_id")).first()[0] == 901
+
+
+def test_a_language_of_mostly_logs(spark):
+    r = random.Random(7)
+    log = lambda i: "".join(f"2024-05-{r.randrange(10, 29)} 10:{r.randrange(10, 60)}:00 the job {i} is not in the list of all that was done\n" for _ in range(r.randrange(3, 9)))
+    for share in (60, 95, 100):
+        rows = [(i, log(i) if i % 100 < share else PROSE * r.randrange(1, 4) + MORE, "en") for i in range(400)]
+        kinds = {i: i % 100 < share for i in range(400)}
+        # A second language, so that the labels are of both kinds, and 2 % of them wrong.
+        rows += [(i, "Wir wissen, dass der Plan nicht so gut ist, wie er war. " * r.randrange(1, 3), "de") for i in range(400, 800)]
+        kinds |= {i: False for i in range(400, 800)}
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        labels = spark.createDataFrame([(i, "not_prose" if kinds[i] != (i % 50 == 3) else "prose") for i in range(800)], "doc_id bigint, label string")
+        for given in (labels, None):
+            got = {x["doc_id"]: x["score"] > 0 for x in outlier_scores(docs, given).collect()}
+            assert got == kinds, (share, given is None, sum(got[i] != k for i, k in kinds.items()))
