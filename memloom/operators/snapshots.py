@@ -53,6 +53,15 @@ def snapshot_changes(states: DataFrame, state: str, key: str, fields: list[str],
     )
 
 
+def edited_files(unit_snapshots: DataFrame) -> DataFrame:
+    """(source_path): the files of which a unit was added, removed or got another hash between the two newest snapshots; spellings of a hash are one. Nothing before a second snapshot."""
+    rows = unit_snapshots.where("id is not null and snap_no is not null")
+    newest = F.broadcast(rows.select("snap_no").distinct().orderBy(F.desc("snap_no")).limit(2))
+    rows = rows.join(newest, "snap_no", "left_semi").select("snap_no", "id", "source_path", normal_hash(F.col("content_sha")).alias("content_sha"), F.col("taken_at").cast("timestamp_ntz").alias("taken_at"))
+    changed = snapshot_changes(rows, "snap_no", "id", ["content_sha"], latest="taken_at", lowest_is_base=True).select("id").distinct()
+    return rows.join(changed, "id", "left_semi").where("coalesce(source_path, '') <> ''").select("source_path").distinct()
+
+
 def unit_states(nodes: DataFrame, unit_snapshots: DataFrame) -> DataFrame:
     """The snapshots of units, with the file-derived nodes before them as state null-safe minimum - 1."""
     base = nodes.where("source_kind = 'derived_from_file'").select(

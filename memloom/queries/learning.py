@@ -8,6 +8,7 @@ from memloom.functions.text import slug, tokens
 from memloom.operators import learning as ops
 from memloom.operators.graph import degrees, resolved
 from memloom.operators.similar import cosine_top, lexical_top, shared_tokens, token_near_duplicates
+from memloom.operators.snapshots import edited_files
 from memloom.plans import config
 from memloom.plans.frames import edges, memberships, vertices
 from memloom.plans.retrieve import corpus
@@ -82,12 +83,18 @@ def usage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed nodes whose file was worked on in the newest snapshot step: their hash changed."""
+    """Nodes by file, of the files that have more than one hash in any snapshots: no pack and no session is read (``used_nodes`` does that)."""
     nodes, snaps = table(spark, sf_dir, "nodes"), table(spark, sf_dir, "unit_snapshots")
     edited = snaps.where("id is not null and source_path is not null").groupBy("source_path").agg(F.count_distinct("content_sha").alias("n")).where("n > 1").select("source_path")
     return vertices(nodes, "source_path", "status").where("source_path is not null").join(edited, "source_path", "left_semi").groupBy("source_path").agg(F.count(F.lit(1)).alias("used"))
 
 
+def used_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each case's pack the nodes whose file was edited in the newest snapshot step."""
+    own = vertices(table(spark, sf_dir, "nodes"), "source_path").join(edited_files(table(spark, sf_dir, "unit_snapshots")), "source_path", "left_semi")
+    return retrieve_pack(spark, sf_dir).select("case_id", "id").join(own, "id").select("case_id", "id", "source_path")
+
+
 def coactivation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.pair_counts(table(spark, sf_dir, "links").where("coact > 0"), "source", "target")
 
@@ -232,7 +239,7 @@ def membership_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_candidates, lexical_candidates, lexical_nominees, near_duplicates, link_pairs, link_batches, judged_batches, usage_pairs, usage_attribution, coactivation_counts, fold_weights, salience_rank, digest_top, contradictions, source_contradicted,
+        cosine_candidates, lexical_candidates, lexical_nominees, near_duplicates, link_pairs, link_batches, judged_batches, usage_pairs, usage_attribution, used_nodes, coactivation_counts, fold_weights, salience_rank, digest_top, contradictions, source_contradicted,
         merge_actions, apply_items, note_ids, schema_migration, eval_recall, eval_means, pattern_metrics, gate_deltas, membership_slugs,
     )
 }
@@ -289,6 +296,15 @@ select a, b, round(i / (len(x.ws) + len(y.ws) - i), 6) sim from p join d x on x.
     "usage_pairs": """with s as (select distinct concat_ws('/', user_id, ts::date) session, case event_type when 'purchase' then 'accepted' when 'error' then 'reverted' end outcome, cast(props->>'$.k' as integer) item from events)
 select distinct x.outcome, x.item a, y.item b from s x join s y on x.session = y.session and x.outcome = y.outcome and x.item < y.item""",
     "usage_attribution": f"{_G}, e as (select source_path from unit_snapshots where id is not null and source_path is not null group by 1 having count(distinct content_sha) > 1) select source_path, count(*) used from vx where source_path in (from e) group by 1",
+    "used_nodes": BASE
+    + _ppr(_START)
+    + _active()
+    + _packed()
+    + r""", sn as (select snap_no, id, source_path, taken_at, regexp_replace(regexp_replace(lower(regexp_replace(content_sha, '^\s+|\s+$', '', 'g')), '^sha256:', ''), '^\s+|\s+$', '', 'g') h from unit_snapshots
+  where id is not null and snap_no in (select distinct snap_no from unit_snapshots where id is not null and snap_no is not null order by 1 desc limit 2)),
+hs as (select snap_no, id, h from sn qualify row_number() over (partition by snap_no, id order by taken_at desc nulls last, h desc nulls last) = 1),
+ch as (select id from hs where (select count(distinct snap_no) from hs) = 2 group by id having count(*) = 1 or min(h) is distinct from max(h) or count(h) = 1)
+select po.case_id, po.id, vx.source_path from po join vx using (id) where (po.tier <> 'periphery' or ord <= 40) and vx.source_path in (select source_path from sn where id in (from ch) and source_path <> '')""",
     "coactivation_counts": _COACT,
     "fold_weights": f"""{_G}, c as ({_COACT}), j as (select distinct least(a, b) a, greatest(a, b) b, verdict from duplicate_pairs where a is not null and b is not null),
 x as (select src, rel, dst, coalesce(w, 0.5) w, coalesce(coact, 0) + coalesce(n, 0) coact, n, u.a is not null up, d.a is not null dn from ed left join c on c.a = least(src, dst) and c.b = greatest(src, dst)

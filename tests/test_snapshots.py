@@ -21,3 +21,24 @@ def test_changes(spark):
 def test_normal_hash(spark):
     df = spark.createDataFrame([(" SHA256:AB ",), ("ab",), (None,), ("sha256: ab",), ("",)], "h string")
     assert [r[0] for r in df.select(normal_hash(F.col("h"))).collect()] == ["ab", "ab", None, "ab", ""]
+
+
+def test_edited_files_are_those_of_the_newest_step(spark):
+    from memloom.operators.snapshots import edited_files
+
+    rows = [
+        (1, "a", "a.py", "h1"), (1, "b", "two.py", "h2"), (1, "c", "two.py", "h3"), (1, "d", "d.py", "h4"), (1, "e", "e.py", None), (1, "f", "f.py", "h5"),
+        (4, "a", "a.py", "h9"), (4, "b", "two.py", "h2"), (4, "c", "two.py", "h3"), (4, "d", "d.py", "h4"), (4, "e", "e.py", None), (4, "f", "f.py", "h5"), (4, "x", None, "h6"),
+        (7, "a", "a.py", " SHA256:H9"), (7, "b", "two.py", "h2"), (7, "c", "two.py", "h3"), (7, "d", "d.py", "h7"), (7, "e", "e.py", "h8"), (7, "g", "g.py", "h6"), (7, "x", None, "h7"), (7, None, "n.py", "h1"),
+    ]
+    snaps = spark.createDataFrame(rows, "snap_no int, id string, source_path string, content_sha string").selectExpr("*", "timestamp'2024-01-01 00:00:00' taken_at")
+    assert {r[0] for r in edited_files(snaps).collect()} == {"d.py", "e.py", "f.py", "g.py"}
+    assert edited_files(snaps.where("snap_no = 1")).count() == 0
+
+
+def test_used_nodes_are_packed_ones(spark):
+    from memloom.queries.learning import used_nodes
+    from memloom.queries.retrieval import retrieve_pack
+
+    used = {(r["case_id"], r["id"]) for r in used_nodes(spark, "/root/testdata/sf0.01").collect()}
+    assert used and used < {(r["case_id"], r["id"]) for r in retrieve_pack(spark, "/root/testdata/sf0.01").collect()}
