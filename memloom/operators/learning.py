@@ -88,3 +88,21 @@ def applied_items(items: DataFrame, nodes: DataFrame) -> DataFrame:
     latest = lambda c: F.max_by(F.when(takes, F.col(c)), F.when(takes & F.col(c).isNotNull(), F.struct("seq", c)))
     out = rows.groupBy("id", "outcome").agg(F.count(F.lit(1)).alias("items"), F.coalesce(latest("summary"), F.max("old")).alias("summary"), F.coalesce(latest("confidence"), F.max("sure"), F.lit(0.7)).alias("confidence"))
     return out.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")))
+
+
+def gate(gold: DataFrame, before: DataFrame, after: DataFrame, least: float) -> DataFrame:
+    """(case_id, k, hop_gold, recall_before, recall_after, hop_recall_before, hop_recall_after, lost, recall_delta, hop_recall_delta, status) of packs ``before`` and ``after`` (case_id, id) against ``gold`` (case_id, id, hop).
+
+    ``gold`` and the part of it beyond the reach of words (``hop``) are those of the baseline. ``lost``: gold that was in the pack and no longer is. The deltas are of the means over the
+    cases, to 4 digits; a case without hop gold has no part in the second. ``status`` is rejected if a delta is below ``least``, else ok, and is the same for all cases.
+    """
+    rows = gold.join(before.select("case_id", "id", F.lit(True).alias("b")).distinct(), ["case_id", "id"], "left").join(after.select("case_id", "id", F.lit(True).alias("a")).distinct(), ["case_id", "id"], "left")
+    share = lambda c, of: F.count_if(F.col(c) & of) / F.nullif(F.count_if(of), F.lit(0))
+    every, hop = F.lit(True), F.col("hop")
+    cases = rows.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("k"), F.count_if("hop").alias("hop_gold"), share("b", every).alias("recall_before"), share("a", every).alias("recall_after"), share("b", hop).alias("hop_recall_before"), share("a", hop).alias("hop_recall_after"),
+        F.array_sort(F.collect_list(F.when(F.col("b") & F.col("a").isNull(), F.col("id")))).alias("lost"),
+    )
+    change = lambda c: F.round(F.avg(f"{c}_after") - F.avg(f"{c}_before"), 4).alias(f"{c}_delta")
+    total = cases.agg(change("recall"), change("hop_recall")).withColumn("status", F.when((F.col("recall_delta") < least) | F.coalesce(F.col("hop_recall_delta") < least, F.lit(False)), "rejected").otherwise("ok"))
+    return cases.crossJoin(F.broadcast(total))

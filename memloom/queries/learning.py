@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from memloom.functions.text import slug, tokens
 from memloom.operators import learning as ops
 from memloom.operators.graph import degrees, resolved
+from memloom.operators.merging import merged_nodes
 from memloom.operators.similar import cosine_top, lexical_top, shared_tokens, token_near_duplicates
 from memloom.operators.snapshots import edited_files
 from memloom.plans import config
 from memloom.plans.frames import edges, memberships, vertices
-from memloom.plans.retrieve import corpus
+from memloom.plans.retrieve import corpus, retrieve
 from memloom.queries.graphs import protected_nodes
-from memloom.queries.retrieval import _START, BASE, GRAPH, SEEDS, _active, _asked, _masses, _packed, _ppr, _seeds, retrieve_pack
+from memloom.queries.retrieval import _START, BASE, GRAPH, SEEDS, _active, _asked, _exact, _masses, _packed, _ppr, _seeds, retrieve_pack
 from memloom.session import materialize, table
 
 SETTINGS = config.profile()
@@ -220,7 +221,7 @@ def pattern_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What merging confirmed duplicates does to the degree of nodes, as the gate compares before and after: unchanged, gained or lost."""
+    """What merging confirmed duplicates does to the degree of nodes: unchanged, gained or lost. The gate itself is ``eval_gate``."""
     nodes = table(spark, sf_dir, "nodes")
     ids, e = vertices(nodes), edges(nodes)
     left = merge_actions(spark, sf_dir)
@@ -230,6 +231,24 @@ def gate_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after, "id").groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate of merging: pack recall and pack hop recall on the graph and on it with the confirmed duplicates merged, the gold of both taken from the graph before."""
+    nodes = table(spark, sf_dir, "nodes")
+    ids = vertices(nodes)
+    merges = table(spark, sf_dir, "duplicate_pairs").where("verdict = 'same' and a <> b").select(F.least("a", "b").alias("keep_id"), F.greatest("a", "b").alias("drop_id"))
+    for end in ("keep_id", "drop_id"):
+        merges = merges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    moves = materialize(ops.survivors(merges, protected_nodes(spark, sf_dir)).select(F.col("drop_id").alias("old"), F.col("survivor").alias("new")), "moves")
+    after = materialize(merged_nodes(nodes, moves), "merged")
+    gold = materialize(_gold(spark, sf_dir), "gold")
+    words = _seeds(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "id")))
+    k = gold.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
+    frozen = gold.join(k, "case_id").join(words.select("case_id", "id", "r"), ["case_id", "id"], "left").select("case_id", "id", (~F.coalesce(F.col("r") <= F.col("k"), F.lit(False))).alias("hop"))
+    packed = retrieve(after, _asked(spark), _exact())["pack"]
+    out = ops.gate(frozen, retrieve_pack(spark, sf_dir), packed, SETTINGS["eval_drop"])
+    return out.select("case_id", "k", "hop_gold", *[F.round(c, 6).alias(c) for c in ("recall_before", "recall_after", "hop_recall_before", "hop_recall_after")], "lost", "recall_delta", "hop_recall_delta", "status")
+
+
 def membership_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of topics: a slug with the beginning of the topic's hash."""
     topics = memberships(table(spark, sf_dir, "nodes")).select("topic").distinct()
@@ -240,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cosine_candidates, lexical_candidates, lexical_nominees, near_duplicates, link_pairs, link_batches, judged_batches, usage_pairs, usage_attribution, used_nodes, coactivation_counts, fold_weights, salience_rank, digest_top, contradictions, source_contradicted,
-        merge_actions, apply_items, note_ids, schema_migration, eval_recall, eval_means, pattern_metrics, gate_deltas, membership_slugs,
+        merge_actions, apply_items, note_ids, schema_migration, eval_recall, eval_means, pattern_metrics, gate_deltas, eval_gate, membership_slugs,
     )
 }
 

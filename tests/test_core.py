@@ -193,3 +193,25 @@ def test_text(spark):
     assert spark.createDataFrame([(" A b/C! ",)], "t string").select(slug(F.col("t"))).first()[0] == "a-bc"
     assert config.profile("template", budget={"tactical": 1})["budget"] == {"strategic": 4000, "tactical": 1, "operational": 24000, "periphery": 60}
     assert json.dumps(config.PROFILES["defaults"]["budget"])
+
+
+def test_merged_nodes_and_gate(spark):
+    edge = "rel string, to string, w double, coact int, last_used string, origin string"
+    e = lambda rel, to, w, n=None: (rel, to, w, n, None, None)
+    rows = [
+        ("a", [e("uses", "x", 0.4, 1), e("uses", "b", 0.9)], [("t", 0.8)]), ("b", [e("uses", "x", 0.6, 2), e("calls", "y", None)], [("t", 0.5), ("u", 0.6)]),
+        ("x", [e("uses", "b", 0.3), e("uses", "a", 0.2)], [("b", 0.5)]), ("y", [e("uses", "x", 0.1), e("uses", "x", 0.2)], None),
+    ]
+    nodes = spark.createDataFrame(rows, f"id string, edges array<struct<{edge}>>, part_of array<struct<topic: string, w: double>>")
+    got = {r["id"]: (sorted((x["rel"], x["to"], x["w"], x["coact"]) for x in r["edges"] or []), sorted(map(tuple, r["part_of"] or []))) for r in merging.merged_nodes(nodes, spark.createDataFrame([("b", "a")], "old string, new string")).collect()}
+    assert got == {
+        "a": ([("calls", "y", None, None), ("uses", "x", 0.6, 3)], [("t", 0.5714), ("u", 0.4286)]),
+        "x": ([("uses", "a", 0.3, 0)], [("a", 0.5)]), "y": ([("uses", "x", 0.1, None), ("uses", "x", 0.2, None)], []),
+    }
+    gold = spark.createDataFrame([("q", "a", False), ("q", "b", True), ("q", "x", True), ("q", "y", False), ("p", "a", False)], "case_id string, id string, hop boolean")
+    pack = lambda *xs: spark.createDataFrame(list(xs), "case_id string, id string")
+    before = pack(("q", "a"), ("q", "b"), ("q", "x"), ("p", "a"))
+    out = {r["case_id"]: r.asDict() for r in learning.gate(gold, before, pack(("q", "a"), ("q", "x"), ("p", "a")), -0.02).collect()}
+    assert out["q"]["lost"] == ["b"] and out["p"]["lost"] == [] and (out["q"]["recall_before"], out["q"]["recall_after"], out["q"]["hop_recall_after"]) == (0.75, 0.5, 0.5)
+    assert {(r["recall_delta"], r["hop_recall_delta"], r["status"]) for r in out.values()} == {(-0.125, -0.5, "rejected")}
+    assert {r["status"] for r in learning.gate(gold, before, before, -0.02).collect()} == {"ok"}
