@@ -7,228 +7,210 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memloom.operators.ordering import partition_offsets, sorted_with_local_rows
 from memloom.operators.skew import skew_join
-from memloom.session import materialize
-
-#: Common words by language: articles, pronouns, prepositions, conjunctions, auxiliaries and the like.
-COMMON_WORDS = {
-    "de": "aber alle alles als am an auch auf aus bei das dass dem den der des die doch durch ein eine einem einen einer er es für hat ihn im in ist jeder kein keine mit nach nicht noch nur oder oft schon sich sie sind so solange sondern und uns von vor war was weil wenn wer wie wir wird zu zuerst zum zur",
-    "en": "a about after all an and any are as at be because been but by can could do each every few for from had has have he how i if in is it its more most no nobody not of on once one only or our she should so than that the their them then there they this to until was we were what when where which while who will with would you your",
-    "es": "a al algo antes apenas aunque cada como con cuando de del desde donde el ella en entonces entre es esta este ha hasta hay la las le lo los más mientras muy no nos nosotros o otra otro para pero por porque pronto que se sea ser si sin sino sobre son su sus también tan todo un una y ya",
-    "ru": "а без был была были в во вот все всех всё вы где да для до его ее если есть ещё её же за и из или их к каждый как когда который лишь мы на над не нет ни никогда но о об он она они от очень по под пока после потому при с свой себя снова так также там то только тот ты у уже что чтобы эта это этот я",
-}
-_COMMON = {k: frozenset(v.split()) for k, v in COMMON_WORDS.items()}
-_ANY = frozenset().union(*_COMMON.values())
+from memloom.session import discard, materialize
+
+#: The common words of a language are its words that occur in most documents, so many of them.
+COMMON = 25
+#: A language tag counts as a language if at least this share of the documents carry it.
+LANGUAGE_SHARE = 0.01
+#: A document is in a language if this share of its words, and two different ones, are common in it.
+SPOKEN = 1 / 16
+#: A line or stretch of words is bare if fewer than this share of its words are common.
+BARE = 1 / 10
+STRETCH = 12
 
 _WORD = re.compile(r"[^\W\d_]+")
-_COLUMNS = re.compile(r"\S {3,}(?=\S)")
-_BULLET = re.compile(r"\s*(?:[-*+\u2022\u2023\u2043\u25aa\u25cf\u25e6\u00b7\u2013\u2014]|\(?\d{1,4}[.)]|\(?[a-z][.)]|\[[ xX]?\])\s+\S")
-_MARKUP = re.compile(r"\s*(?:</?\w+[^<>]*>|[{}\[\]]+,?\s*$|\"[^\"]*\"\s*:|\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|```)")
-_FRONT = re.compile(r"\A---\n(?:.*\n){0,40}?---\n")
-_END = frozenset(".!?:;\u2026\u3002\uff01\uff1f\"'\u00bb\u201d)")
-
-#: A run of lines is running prose from this share of common words on; with a closing stop half of it does.
-RUNNING = 0.2
-#: A text of which at least this share of word triples has occurred before repeats itself.
-REPEATS = 0.6
-
-#: Shares are counted in thousandths, lengths of words in hundredths.
+_ITEM = re.compile(r"\s*(?:[^\w\s#\"'(¿¡<>{\[|]|\[.?\]|\(?\w{1,3}[.)])\s+\S")
+_STOPS = frozenset(".!?…。！？")
+
+#: Shares are counted in thousandths, lengths of words and lines in hundredths, so ties are exact.
 STATISTICS = (
-    "words", "mean_word_length", "symbol_ratio", "digit_ratio", "stop_line_share", "common_word_share", "list_line_share", "row_line_share",
-    "repeated_share", "underscore_ratio", "line_words", "not_running_share", "mostly_not_running",
+    "words", "mean_word_length", "symbol_ratio", "digit_ratio", "stop_line_share", "common_word_share", "item_line_share", "delimiter_ratio", "repeated_share",
+    "underscore_ratio", "words_per_line", "bare_stretch_share", "distinct_share", "item_text_share", "stops_per_word", "bare_text_share",
 )
 
-
-def _row_like(line: str) -> bool:
-    """Whether a line is cells, fields or markup rather than words one after the other."""
-    bars = line.count("|") + line.count("\t") + line.count(";") + line.count(",") - line.count(", ")
-    if "   " in line:
-        bars += len(_COLUMNS.findall(line))
-    return bars >= 2 and bars * 6 >= len(line.split()) or _MARKUP.match(line) is not None
-
-
-def _running(words: list[str], common: int, stop: bool) -> bool:
-    n = len(words)
-    return n >= 3 and (common >= RUNNING * n or (stop and n >= 4 and common >= RUNNING * n / 2))
+#: Rank of a document among all documents, whatever their language.
+ALL = "*"
 
 
-def text_statistics(text: str) -> tuple[str | None, list[int]] | None:
-    """The language that at least two different common words speak for (else None) and the values of ``STATISTICS``; None for a text that is null or blank."""
+def text_statistics(text: str | None, common: dict[str, frozenset[str]]) -> tuple[str | None, list[int]] | None:
+    """The language whose ``common`` words the text uses most, None if it uses too few, and the values of ``STATISTICS``; None for a text that is null or blank."""
     if not text or text.isspace():
         return None
-    low = text.replace("\r\n", "\n").lower()
-    front = _FRONT.match(low) if low.startswith("---\n") else None
-    body = low[front.end() :] if front and not low[front.end() :].isspace() and front.end() < len(low) else low
-    every: list[str] = []
-    lines = stops = lists = rows = size = running = 0
-
-    # Lines that follow each other are one block, so that hard line breaks part no sentence; an item stands for itself, a row is never prose.
-    blocks, open_block = [], False
-    for raw in body.splitlines():
-        line = raw.strip()
-        if not line:
-            open_block = False
-            continue
-        lines += 1
-        stops += line[-1] in _END
-        if _row_like(line):
-            rows += 1
-            open_block = False
-            every += _WORD.findall(line)
-            size += len(line) - line.count(" ")
-        elif _BULLET.match(line):
-            lists += 1
-            open_block = False
-            blocks.append(line)
-        elif line[0] == "#" and line.lstrip("#")[:1] == " ":
-            open_block = False
-            every += _WORD.findall(line)  # a heading speaks neither for nor against
-        elif open_block:
-            blocks[-1] += " " + line
-        else:
-            blocks.append(line)
-            open_block = True
-    common = 0
-    for block in blocks:
-        ws = _WORD.findall(block)
-        every += ws
-        hits = sum(map(_ANY.__contains__, ws))
-        common += hits
-        weight = len(block) - block.count(" ")
-        size += weight
-        if _running(ws, hits, block[-1] in _END):
-            running += weight
-    n = len(every)
-    letters = sum(map(len, every))
-    digits = sum(map(body.count, "0123456789"))
-    dense = sum(map(len, body.split())) or 1
-    triples = n - 2
-    repeated = 1 - len(set(zip(every, every[1:], every[2:], strict=False))) / triples if triples > 3 else 0.0
-    seen = set(every)
-    hits = {k: len(seen & v) for k, v in _COMMON.items()}
-    lang = max(hits, key=hits.get)
-    share = 1 - running / size if size else 1.0
-    if repeated >= REPEATS:
-        share = 1.0
+    low = text.lower()
+    lines = [(x, _WORD.findall(x)) for raw in low.splitlines() if (x := raw.strip())]
+    words = [w for _, ws in lines for w in ws]
+    n, seen = len(words), set(words)
+    used = {k: len(seen & own) for k, own in common.items()}
+    lang = max(used, key=lambda k: (used[k], k)) if used else None
+    own = common[lang] if lang else frozenset()
+    known = [w in own for w in words]
+    if not lang or used[lang] < 2 or sum(known) < SPOKEN * n:
+        lang, own, known = None, frozenset(), [False] * n
+    letters, digits = sum(map(len, words)), sum(map(low.count, "0123456789"))
+    dense = sum(map(len, low.split())) or 1
+    full = bare = listed = stops = items = 0
+    for line, ws in lines:
+        size = len(line) - line.count(" ")
+        full += size
+        if not ws or sum(map(own.__contains__, ws)) < BARE * len(ws):
+            bare += size
+        if _ITEM.match(line):
+            items += 1
+            listed += size
+        stops += line[-1] in _STOPS
+    parts = max(1, n // STRETCH)
+    at = [i * n // parts for i in range(parts + 1)]
+    stretches = sum(sum(known[a:b]) * STRETCH < 2 * (b - a) for a, b in zip(at, at[1:], strict=False)) / parts if n else 1.0
+    delimiters = low.count("|") + low.count("\t") + low.count(";") + low.count(",") - low.count(", ") + low.count("   ")
+    repeated = 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / (n - 2) if n > 5 else 0.0
+    of = lambda x, whole: round(1000 * x / whole) if whole else 0
     values = [
-        n, round(100 * letters / n) if n else 0, *(round(1000 * x / dense) for x in (max(0, dense - letters - digits), digits)), round(1000 * stops / max(1, lines)),
-        round(1000 * common / n) if n else 0, *(round(1000 * x / max(1, lines)) for x in (lists, rows)), round(1000 * repeated),
-        round(1000 * body.count("_") / dense), n // max(1, lines), round(1000 * share), int(share > 0.5),
+        n, round(100 * letters / n) if n else 0, of(max(0, dense - letters - digits), dense), of(digits, dense), of(stops, len(lines)), of(sum(known), n), of(items, len(lines)), of(delimiters, dense), round(1000 * repeated),
+        of(low.count("_"), dense), round(100 * n / len(lines)), round(1000 * stretches), of(len(seen), n), of(listed, full), of(sum(map(low.count, ".!?")), n), of(bare, full),
     ]
-    return (lang if hits[lang] > 1 else None), values
+    return lang, values
 
 
-_TAGS = frozenset(_COMMON)
+def common_words(documents: DataFrame, most: int = COMMON, share: float = LANGUAGE_SHARE) -> dict[str, frozenset[str]]:
+    """The ``most`` words that occur in most documents of each language tag that at least ``share`` of all documents carry; ties by the word.
 
-
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, langs, rows = [], [], []
-        for doc, text, tag in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            found = text_statistics(text)
-            if found:
-                tag = re.split(r"[-_]", (tag or "").strip().lower())[0]
-                ids.append(doc)
-                langs.append(found[0] or (tag if tag in _TAGS else "und"))
-                rows.append(found[1])
-        table = np.array(rows, np.int64).reshape(len(rows), len(STATISTICS))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(table[:, i]) for i in range(len(STATISTICS)))], ["doc_id", "language", *STATISTICS])
-
-
-def document_statistics(documents: DataFrame) -> DataFrame:
+    Counted over all documents. The tag is the first two or three letters of ``lang`` whatever their case. Null texts and tags count for nothing. The result has
+    at most ``most / share`` words: the counts shrink to the first of every task before they are shuffled.
+    """
+    tag = F.regexp_extract(F.lower(F.trim("lang")), "^[a-z]{2,3}", 0)
+    rows = documents.where("text is not null").select(tag.alias("tag"), "text")
+    counts = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    sizes = rows.where("tag <> ''").groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= share * counts)
+    tags = [r["tag"] for r in sizes.collect()]
+    if not tags:
+        return {}
+    each = rows.where(F.col("tag").isin(tags)).select("tag", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))).alias("word"))
+    each = each.groupBy("tag", "word").agg(F.count(F.lit(1)).alias("n"))
+    first = each.withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n"), "word"))).where(F.col("r") <= most)
+    found: dict[str, set[str]] = {}
+    for r in first.select("tag", "word").collect():
+        found.setdefault(r["tag"], set()).add(r["word"])
+    return {k: frozenset(v) for k, v in sorted(found.items())}
+
+
+def _statistics(common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, langs, rows = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = text_statistics(text, common.value)
+                if found:
+                    ids.append(doc)
+                    langs.append(found[0])
+                    rows.append(found[1])
+            table = np.array(rows, np.int64).reshape(len(rows), len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(table[:, i]) for i in range(len(STATISTICS)))], ["doc_id", "language", *STATISTICS])
+
+    return run
+
+
+def document_statistics(documents: DataFrame, common: dict[str, frozenset[str]] | None = None) -> DataFrame:
     """(doc_id, language, ...``STATISTICS``) of every document with some text that is not blank.
 
-    Counted over the whole text, front matter left out. language is the one whose common words are most (two different ones at least), else
-    the first part of ``lang`` if it is one of ours, else ``und``. Shares are in thousandths and the mean word length in hundredths,
-    so ties are exact. Rows with a null doc_id are dropped; null, empty and blank texts give no row; other columns are not read.
+    Counted over the whole text. language is the one whose ``common`` words (by default those of ``common_words``) the text uses most, null if it uses too few of any. Shares are in
+    thousandths, mean lengths in hundredths. Rows with a null doc_id are dropped; null, empty and blank texts give no row; other columns are not read.
     """
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(_statistics, "doc_id bigint, language string, " + ", ".join(f"{s} bigint" for s in STATISTICS))
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = documents.sparkSession.sparkContext.broadcast(common_words(documents) if common is None else common)
+    return rows.mapInArrow(_statistics(shared), "doc_id bigint, language string, " + ", ".join(f"{s} bigint" for s in STATISTICS))
 
 
-def tail_probabilities(values: DataFrame, group: list[str], value: str) -> DataFrame:
+def tail_probabilities(values: DataFrame, group: list[str], value: str, small: int | None = None) -> DataFrame:
     """(*group, value, at_most, at_least): the exact shares of rows of the group with at most and at least each value.
 
     Equal values are counted first, combined on the map side, so a value that a third of all rows share is one row.
     The counts are sorted by range over all partitions; running sums within each partition plus the sums of the partitions
-    before give exact ranks, and no partition has to hold a group.
+    before give exact ranks, and no partition has to hold a group. The totals of the groups are broadcast if there are at most ``small`` of them.
     """
+    small = SMALL_TABLE if small is None else small
     counts = values.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     ordered = sorted_with_local_rows(counts, [*map(F.col, group), F.col(value)], "ranks")
     offsets = F.broadcast(partition_offsets(ordered, F.col("n")))
     within = F.sum("n").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
     ranked = ordered.withColumn("upto", within).join(offsets, "_part").withColumn("upto", F.col("upto") + F.col("_before"))
     whole = ranked.groupBy(*group).agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("total"))
-    ranked = ranked.join(F.broadcast(whole) if whole.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else whole, group)
+    ranked = ranked.join(F.broadcast(whole) if whole.limit(small + 1).count() <= small else whole, group)
     upto = F.col("upto") - F.col("start")
     return ranked.select(*group, value, (upto / F.col("total")).alias("at_most"), ((F.col("total") - upto + F.col("n")) / F.col("total")).alias("at_least"))
 
 
 #: A table of ranks of at most this many rows is broadcast; a larger one is joined by shuffle.
 SMALL_TABLE = 400_000
-#: At most this many labelled rows are used to weigh the statistics; of more, those of the smallest hash.
+#: At most this many labelled rows are used to weigh the tails; of more, those of the smallest hash.
 LABELLED = 20_000
-#: What the weights are drawn to when there are few labels: the majority of the text decides.
-_PRIOR_BIAS, _PRIOR_MAJORITY = -3.0, 5.0
-#: How hard: the bias and the majority give way to a few labels, the other weights only to many, since some labels are wrong.
-_PULL, _PULL_OTHERS = 2.0, 50.0
+#: Beside its logarithm a tail probability p speaks by how far it stays below each of these.
+LEVELS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5)
+#: How hard the weights are drawn to 0: some labels are wrong.
+PULL = 10.0
 
 
-def _unpivoted(stats: DataFrame) -> DataFrame:
-    """(row, doc_id, language, stat, value): one row for each statistic of a document."""
-    return stats.select("row", "doc_id", "language", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(STATISTICS)])).alias("s")).select("row", "doc_id", "language", "s.stat", "s.value")
+def _evidence() -> list[Column]:
+    """What the two tail probabilities of a value say, each 0 for a value that is not in the tail."""
+    sides = [F.col("at_most"), F.col("at_least")]
+    return [-F.log(p) for p in sides] + [F.greatest(F.lit(0.0), 1 - p / level) for level in LEVELS for p in sides]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Logistic regression by Newton steps, drawn to the prior."""
-    prior = np.zeros(x.shape[1] + 1)
-    prior[0], prior[-1] = _PRIOR_BIAS, _PRIOR_MAJORITY
-    z, w = np.column_stack([np.ones(len(x)), x]), prior.copy()
-    pull = np.full(len(w), _PULL_OTHERS)
-    pull[0] = pull[-1] = _PULL
-    for _ in range(30):
+    """Logistic regression by Newton steps, all weights but the bias drawn to 0."""
+    z = np.column_stack([np.ones(len(x)), x])
+    w, pull = np.zeros(z.shape[1]), np.full(z.shape[1], PULL)
+    pull[0] = 1e-3
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + pull * (w - prior)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), grad)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (p - y) + pull * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return float(w[0]), w[1:]
 
 
-def outlier_scores(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(doc_id, language, ...``STATISTICS``, outlier, score): how far each document lies out among those of its language (among all if it has none).
+def outlier_scores(documents: DataFrame, labels: DataFrame | None = None, small: int | None = None) -> DataFrame:
+    """(doc_id, language, ...``STATISTICS``, outlier, score): how far each document lies out among those of its language, and whether that speaks against prose.
 
-    ``outlier`` is the sum over the statistics of the larger of -ln of its two empirical tail
-    probabilities. ``score`` weighs the tails of all but the last statistic, whose value (0 or 1) counts itself: above 0 a document is taken for not running prose.
-    The weights are a logistic regression on at most ``LABELLED`` labelled documents (label ``prose`` or ``not_prose``; of several labels for a document the majority, none if
-    equal), drawn to fixed values, which alone count where there are no labels. Ranks and scores are over all documents with text. A repeated doc_id has one row for each of its rows.
+    ``outlier`` is the sum over the statistics of the larger of -ln of its two empirical tail probabilities among the documents of its language (among all if it has none).
+    ``score`` sums what the tails say, among the language and among all, by weights that are a logistic regression on at most ``LABELLED`` labelled documents (label ``prose`` or ``not_prose``; of several labels for
+    a document the majority, none if equal): above 0 a document is taken for not running prose. Without labels of both kinds the score is null. Nothing but the tails enters it. Ranks and scores are over all documents with text. A repeated doc_id has
+    one row for each of its rows. ``small``: the number of rank rows up to which they are broadcast (default ``SMALL_TABLE``).
     """
+    small = SMALL_TABLE if small is None else small
     stats = materialize(document_statistics(documents).withColumn("row", F.monotonically_increasing_id()), "stats")
-    long = _unpivoted(stats)
-    # Documents in no known language are nearly all of one kind: they are ranked among all documents.
-    among = long.withColumn("language", F.explode(F.array_distinct(F.array("language", F.lit("und")))))
-    ranks = materialize(tail_probabilities(among, ["language", "stat"], "value"), "ranks")
-    small = ranks.count() <= SMALL_TABLE
-    low, high = (-F.log("at_most")).alias("low"), (-F.log("at_least")).alias("high")
-    joined = lambda rows: (rows.join(F.broadcast(ranks), ["language", "stat", "value"]) if small else skew_join(rows, ranks, ["language", "stat", "value"]))
-    n = len(STATISTICS)
-    # The majority speaks by its value: its tail would be the share of its own kind in the language, which weighs nothing where most documents are not prose.
-    rule = F.col("stat") == n - 1
-    says = F.when(rule, F.lit(0.0)).otherwise(-F.log("at_most")).alias("low"), F.when(rule, F.col("value").cast("double")).otherwise(-F.log("at_least")).alias("high")
-    bias, weights = _PRIOR_BIAS, np.concatenate([np.zeros(2 * n - 1), [_PRIOR_MAJORITY]])
+    own = F.coalesce("language", F.lit(ALL))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(STATISTICS)])).alias("s")
+    long = stats.select("row", "doc_id", own.alias("language"), cells).select("row", "doc_id", "language", "s.stat", "s.value")
+    among = long.withColumn("language", F.explode(F.array_distinct(F.array("language", F.lit(ALL)))))
+    ranks = materialize(tail_probabilities(among, ["language", "stat"], "value", small), "ranks")
+    fits = ranks.count() <= small
+    key = ["within", "language", "stat", "value"]
+    # Each rank speaks in its own role: within the language, or among all; who has no language is ranked among all in both.
+    roles = ranks.withColumn("within", F.explode(F.when(F.col("language") == ALL, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    both = lambda rows: rows.select("*", F.explode(F.array(F.struct(F.lit(True).alias("within"), F.col("language").alias("at")), F.struct(F.lit(False).alias("within"), F.lit(ALL).alias("at")))).alias("role")).withColumn("within", F.col("role.within")).withColumn("language", F.col("role.at")).drop("role")
+    joined = lambda rows, table: (rows.join(F.broadcast(table), key) if fits else skew_join(rows, table, key))
+    n, per = len(STATISTICS), 2 + 2 * len(LEVELS)
+    bias = weights = None
     if labels is not None:
         votes = labels.where("doc_id is not null and label in ('prose', 'not_prose')").groupBy("doc_id").agg(F.sum(F.when(F.col("label") == "prose", -1).otherwise(1)).alias("vote")).where("vote <> 0")
         votes = materialize(votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "votes")
-        seen = joined(long.join(F.broadcast(votes), "doc_id")).select("row", "vote", "stat", *says).toPandas()
-        if len(seen):
-            seen = seen.sort_values(["row", "stat"])
-            x = seen[["low", "high"]].to_numpy().reshape(-1, n, 2).transpose(0, 2, 1).reshape(-1, 2 * n)
-            bias, weights = _fit(x, (seen["vote"].to_numpy()[::n] > 0).astype(float))
-    at = lambda ws: F.element_at(F.array(*[F.lit(float(w)) for w in ws]), F.col("stat") + 1)
-    scored = joined(long.drop("doc_id")).select("row", F.greatest(low, high).alias("tail"), (at(weights[:n]) * says[0] + at(weights[n:]) * says[1]).alias("part"))
-    scored = scored.groupBy("row").agg(F.sum("tail").alias("outlier"), (F.sum("part") + F.lit(bias)).alias("score"))
+        seen = joined(both(long.join(F.broadcast(votes), "doc_id")), roles.withColumn("e", F.array(*_evidence()))).select("row", "vote", "within", "stat", "e").toPandas()
+        y = seen.drop_duplicates("row").sort_values("row")["vote"].to_numpy() > 0 if len(seen) else np.empty(0, bool)
+        if y.any() and not y.all():
+            x = np.stack(seen.sort_values(["row", "within", "stat"])["e"]).reshape(len(y), 2 * n * per)
+            bias, weights = _fit(x, y.astype(float))
+            weights = weights.reshape(2, n, per)
+        discard(votes)
+    part = F.lit(None).cast("double")
+    if weights is not None:
+        place = F.col("within").cast("int") * n + F.col("stat") + 1
+        part = sum((F.element_at(F.array(*[F.lit(float(w)) for w in weights[:, :, i].ravel()]), place) * e for i, e in enumerate(_evidence())), F.lit(0.0))
+    table = roles.select(*key, F.when(F.col("within"), F.greatest(-F.log("at_most"), -F.log("at_least"))).otherwise(0.0).alias("tail"), part.alias("part"))
+    scored = joined(both(long.drop("doc_id")), materialize(table, "parts")).groupBy("row").agg(F.sum("tail").alias("outlier"), (F.sum("part") + F.lit(bias)).alias("score"))
     return stats.join(scored, "row").drop("row")
