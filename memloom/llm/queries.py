@@ -73,6 +73,11 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p9_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that contain a whole item with at most two of its words inserted, deleted or replaced (one for every six words)."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=None, edits=2).select("doc_id", "item_id", "first_word", "edits")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_scores(spark, sf_dir).where("score > 0").select("doc_id").distinct()
 
@@ -81,7 +86,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pairs, p3_found, p3_pieces, p5_found, p6_found, p6_conversations, p8_ids, p8_roundtrip, p9_found, p9_items, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pairs, p3_found, p3_pieces, p5_found, p6_found, p6_conversations, p8_ids, p8_roundtrip, p9_found, p9_items, p9_edits, p10_found, p10_scores)}
 
 _LINKS = "select distinct source s, target t from links where coact > 0 and target is not null and target <> source"
 _PAIRS = f"""

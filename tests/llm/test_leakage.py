@@ -1,6 +1,6 @@
 import random
 
-from memloom.llm.leakage import edit_distance, leaked_items, words
+from memloom.llm.leakage import SPANS, allowed, edit_distance, hash_plan, leaked_items, words
 
 
 def brute(docs, items, window=12):
@@ -39,17 +39,43 @@ def test_exact_windows(spark):
     assert leaked_items(df.where("false"), tests).count() == 0 and leaked_items(df, tests.where("false")).count() == 0
 
 
+def runs(item, doc, edits):
+    """The fewest edits between the item and any run of consecutive words of the document; None for more than it may have."""
+    n = len(item)
+    k = allowed(n, edits)
+    least = min((edit_distance(item, doc[p : p + size]) for p in range(len(doc)) for size in range(max(0, n - k), n + k + 1)), default=n + 1)
+    return least if n and least <= k else None
+
+
+def edited(r, ws, vocabulary, k):
+    ws = list(ws)
+    for _ in range(k):
+        at = r.randrange(len(ws))
+        ws[at : at + 1] = r.choice([[], [r.choice(vocabulary)], [r.choice(vocabulary), ws[at]]])
+    return ws
+
+
 def test_recall_of_edited_passages(spark):
     r = random.Random(11)
-    vocabulary = [f"t{i}" for i in range(800)]
-    items = [(i, " ".join(r.choice(vocabulary) for _ in range(12))) for i in range(60)]
+    vocabulary = [f"t{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([3, 6, 9, 12, 17, 30, 60])))) for i in range(90)] + [(95, ""), (96, None), (None, "t1 t2")]
     docs = []
-    for i, text in items:
-        ws = text.split()
-        at = r.randrange(12)
-        ws[at : at + 1] = r.choice([[r.choice(vocabulary)], [r.choice(vocabulary), ws[at]]])
-        docs.append((i, " ".join(r.choice(vocabulary) for _ in range(20)) + " " + " ".join(ws) + " " + " ".join(r.choice(vocabulary) for _ in range(9))))
-    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), edits=2).collect()}
-    found = sum((i, i) in got for i, _ in items)
-    assert found >= 0.9 * len(items) and all(0 <= e <= 2 for e in got.values())
-    assert edit_distance([1, 2, 3], [2, 3, 4]) == 2
+    for i, text in items[:90]:
+        ws = words(text)
+        docs.append((i, " ".join([r.choice(vocabulary) for _ in range(20)] + edited(r, ws, vocabulary, r.randrange(3)) + [r.choice(vocabulary) for _ in range(i % 4)])))
+    docs += [(200, None), (201, "t1"), (202, "")]
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), window=None, edits=2).collect()}
+    near = {(i, i) for i in range(90)} | got.keys() | {(r.randrange(90), r.randrange(90)) for _ in range(30)}
+    said, asked = dict(docs), dict(items)
+    want = {(d, i): e for d, i in near if (e := runs(words(asked[i]), words(said[d]), 2)) is not None}
+    assert got.keys() <= want.keys() and len(got) >= 0.9 * len(want) and len(want) > 60
+    assert all(want[x] <= e <= 2 for x, e in got.items()) and sum(e == want[x] for x, e in got.items()) >= 0.9 * len(got)
+    assert all(x in got for x, e in want.items() if e == 0)
+
+
+def test_rounds_stay_few():
+    for span in SPANS:
+        for k in (1, 2):
+            if allowed(span, k) == k:
+                assert hash_plan(span, k, 0.99)[1] <= 100, (span, k)
+    assert edit_distance([1, 2, 3], [2, 3, 4]) == 2 and allowed(5, 2) == 0 and allowed(12, 2) == 2
