@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from memloom.llm.conversations import rebuild_conversations
+from memloom.llm.conversations import message_paths, rebuild_conversations
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "message_id bigint, conv_id string, seq int, role string, content string, sent_at timestamp, received_at timestamp, pos int"
@@ -56,3 +56,20 @@ def test_what_is_kept(spark):
 def test_ties_in_time(spark):
     data = [(3, "c", None, "assistant", "b", T0, T0, 0), (1, "c", None, "user", "a", T0, T0, 0)]
     assert [tuple(r) for r in rebuild_conversations(spark.createDataFrame(data, SCHEMA)).orderBy("pos").collect()] == [("c", 1, 1), ("c", 2, 3)]
+
+
+def test_true_parent_pointers(spark):
+    """A circle, an orphan, a fork and a thread across conversations, by pointers that say so."""
+    said = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
+    up = {"good": [None, 0, 1, 2], "circle": [3, 0, 1, 2], "orphan": [None, 0, 77, 2], "fork": [None, 0, 1, 1], "selfish": [None, 0, 1, 3], "two": [None, 0, None, 2]}
+    data = []
+    for c, (conv, parents) in enumerate(up.items()):
+        data += [(100 * c + i, conv, None, role, text, T0 - dt.timedelta(minutes=i), T0, None if p is None else 100 * c + p) for i, ((role, text), p) in enumerate(zip(said, parents))]
+    df = spark.createDataFrame(data, SCHEMA.replace("pos int", "parent_id bigint"))
+    assert sorted(map(tuple, rebuild_conversations(df, parent="parent_id").collect())) == [("good", i + 1, i) for i in range(4)]
+
+
+def test_paths_of_a_tree(spark):
+    links = [(1, None), (2, 1), (3, 1), (4, 3), (5, 4), (10, None), (11, 10), (20, 21), (21, 20), (30, 99), (None, 1), (11, 10)]
+    got = sorted(map(tuple, message_paths(spark.createDataFrame(links, "message bigint, parent bigint")).collect()))
+    assert got == [(2, 1, 1), (2, 2, 2), (5, 1, 1), (5, 2, 3), (5, 3, 4), (5, 4, 5), (11, 1, 10), (11, 2, 11)]
