@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from memloom.operators.skew import skew_join
-from memloom.session import discard, materialize
+from memloom.operators.skew import hot_keys, skew_join
+from memloom.session import discard, materialize, measured, rows_of
 
 
 def resolved(edges: DataFrame, ids: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -14,56 +16,58 @@ def resolved(edges: DataFrame, ids: DataFrame, src: str = "src", dst: str = "dst
 
 
 def dangling(edges: DataFrame, ids: DataFrame, dst: str = "dst") -> DataFrame:
-    """The edges whose target is no node."""
-    return edges.join(ids.select(F.col("id").alias(dst)), dst, "left_anti")
+    """The edges whose target is no node; a null target is none."""
+    named = skew_join(edges, ids.select(F.col("id").alias(dst), F.lit(True).alias("_there")), [dst], "left")
+    return named.where("_there is null").drop("_there")
 
 
 def min_labels(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, component): each id with the smallest id it is linked to directly or through others; its own where it is alone.
 
-    ``pairs`` (x, y) in any direction; ends that are no id are ignored. Each round every vertex hears the smallest label of its neighbours and
-    then takes its label's label, so that long chains fold up in about logarithmically many rounds.
+    ``pairs`` (x, y) in any direction; ends that are no id are ignored. Each round every vertex hears the smallest label of its neighbours,
+    all that carry a label take the smallest that any of them heard, and each then takes its label's label, so that long chains fold up in about logarithmically many rounds.
     """
     both = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("s"), F.col("y").alias("t")), F.struct(F.col("y").alias("s"), F.col("x").alias("t")))).alias("e")).select("e.s", "e.t").where("s <> t").distinct()
-    both = materialize(both.join(ids.select(F.col("id").alias("s")), "s", "left_semi").join(ids.select(F.col("id").alias("t")), "t", "left_semi"), "arcs")
+    for end in ("s", "t"):
+        both = materialize(skew_join(both, ids.select(F.col("id").alias(end)), [end], "left_semi"), "arcs")
+    hubs = hot_keys(both, ["s"])
     current = materialize(ids.select("id", F.col("id").alias("label")).distinct(), "labels")
     while True:
-        heard = skew_join(both, current.select(F.col("id").alias("s"), "label"), ["s"]).select(F.col("t").alias("id"), "label")
-        lower = current.unionByName(heard).groupBy("id").agg(F.min("label").alias("label"))
-        # The label is itself a vertex; what it has heard reaches all that carry it.
-        lower = materialize(lower, "lower")
-        hooked = lower.join(current.withColumnRenamed("label", "old"), "id").groupBy(F.col("old").alias("id")).agg(F.min("label").alias("label"))
-        lower = lower.unionByName(hooked).groupBy("id").agg(F.min("label").alias("label"))
-        jumped = skew_join(lower.select("id", F.col("label").alias("at")), lower.select(F.col("id").alias("at"), F.col("label").alias("next")), ["at"]).select("id", F.least("at", "next").alias("label"))
-        jumped = materialize(jumped, "labels")
-        same = jumped.join(current.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
-        discard(current)
+        heard = skew_join(both, current.select(F.col("id").alias("s"), "label"), ["s"], hot=hubs).select(F.col("t").alias("id"), "label", F.lit(None).cast("string").alias("old"))
+        lower = materialize(current.select("id", "label", F.col("label").alias("old")).unionByName(heard).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), "lower")
+        # A label is itself a vertex; what it hears reaches all that carry it.
+        hooked = lower.groupBy(F.col("old").alias("id")).agg(F.min("label").alias("label")).withColumn("old", F.lit(None).cast("string"))
+        taken = materialize(lower.unionByName(hooked).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), "taken")
+        at = taken.select("id", F.col("label").alias("at"), "old")
+        crowd = hot_keys(at, ["at"]) if rows_of(taken) > 100_000 else None
+        jumped = skew_join(at, taken.select(F.col("id").alias("at"), F.col("label").alias("next")), ["at"], hot=crowd).select("id", F.least("at", "next").alias("label"), "old")
+        jumped = materialize(jumped, "labels", moved=F.count_if(F.col("label") != F.col("old")))
+        for done in (current, lower, taken):
+            discard(done)
         current = jumped
-        if same:
+        if not measured(jumped)["moved"]:
             return current.select("id", F.col("label").alias("component"))
 
 
-def closure(steps: DataFrame) -> DataFrame:
-    """(src, dst): every pair with a way of one step or more over ``steps``; ends that are equal are left out.
+def reachable(roots: DataFrame, steps: DataFrame, barrier: DataFrame | None = None) -> DataFrame:
+    """(root, id): what each of ``roots`` (id) reaches over ``steps`` (src, dst), itself left out; nodes of ``barrier`` (id) are neither entered nor passed.
 
-    Ways are doubled: each round joins the pairs found with themselves, so the rounds are the logarithm of the longest shortest way. Safe on cycles, and
-    the result itself is the only thing that grows.
+    Grown from the roots: each round takes one step from what the round before found and keeps what is new, so nothing but the result is ever made, and circles end by themselves. The rounds are
+    the greatest distance from a root.
     """
-    pairs = materialize(steps.select("src", "dst").where("src <> dst").distinct(), "pairs")
-    while True:
-        further = skew_join(pairs.select("src", F.col("dst").alias("mid")), pairs.select(F.col("src").alias("mid"), "dst"), ["mid"]).select("src", "dst").where("src <> dst")
-        new = materialize(further.distinct().join(pairs, ["src", "dst"], "left_anti"), "new")
-        if new.isEmpty():
-            return pairs
-        pairs = materialize(pairs.unionByName(new), "pairs")
-
-
-def reachable(roots: DataFrame, steps: DataFrame, barrier: DataFrame | None = None) -> DataFrame:
-    """(root, id): what each of ``roots`` (id) reaches over ``steps``, itself left out; nodes of ``barrier`` (id) are neither entered nor passed."""
     if barrier is not None:
-        steps = steps.join(barrier.select(F.col("id").alias("dst")), "dst", "left_anti")
-    found = closure(steps)
-    return found.join(roots.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("root"), F.col("dst").alias("id"))
+        steps = skew_join(steps, barrier.select(F.col("id").alias("dst"), F.lit(True).alias("_in")), ["dst"], "left").where("_in is null").drop("_in")
+    steps = materialize(steps.select("src", "dst").where("src <> dst").distinct(), "steps")
+    hubs = hot_keys(steps, ["src"])
+    start = roots.select(F.col("id").alias("root"), F.col("id").alias("id")).distinct()
+    found = [materialize(start, "reached")]
+    while rows_of(found[-1]):
+        further = skew_join(steps, found[-1].withColumnRenamed("id", "src"), ["src"], hot=hubs, keys=0).select("root", F.col("dst").alias("id")).distinct()
+        found.append(materialize(further.join(reduce(DataFrame.unionByName, found), ["root", "id"], "left_anti"), "reached"))
+        if len(found) > 16:  # few tables to compare with, however many rounds
+            found = [materialize(reduce(DataFrame.unionByName, found[:-1]), "reached"), found[-1]]
+    out = reduce(DataFrame.unionByName, found)
+    return out.where("root <> id")
 
 
 def degrees(edges: DataFrame, ids: DataFrame) -> DataFrame:

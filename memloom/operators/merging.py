@@ -15,11 +15,6 @@ def refreshed_edges(edges: DataFrame, order: str) -> DataFrame:
     return edges.where("dst is not null").groupBy("src", "rel", "dst").agg(F.max(F.coalesce("w", F.lit(0.0))).alias("w"), F.coalesce(F.min_by("coact", F.struct(order, "coact")), F.lit(0)).alias("coact"))
 
 
-def first_edges(edges: DataFrame, order: str) -> DataFrame:
-    """Of the edges with one (src, rel, dst) the first in ``order``."""
-    return edges.withColumn("_r", F.row_number().over(Window.partitionBy("src", "rel", "dst").orderBy(order))).where("_r = 1").drop("_r")
-
-
 def within_simplex(memberships: DataFrame, by: str = "src") -> DataFrame:
     """Weights scaled down to a sum of 1 where a node's exceed it, then rounded to 4 digits; others stay as they are."""
     total = F.sum("w").over(Window.partitionBy(by))

@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from memloom.operators.skew import hot_keys, skew_join
-from memloom.session import discard, materialize
+from memloom.operators.skew import BROADCAST_ROWS, hot_keys, skew_join, small_side
+from memloom.session import discard, materialize, measured, rows_of
 
 #: Up to this many arcs the whole transition matrix fits one task (24 bytes an arc) and a kernel iterates there.
 KERNEL_ARCS = 2_000_000
@@ -27,13 +27,14 @@ def conductance(edges: DataFrame, memberships: DataFrame, ids: DataFrame, priors
     m = memberships.select(F.col("src").alias("u"), F.col("topic").alias("v"), (F.coalesce("w", F.lit(part_w)) * F.lit(priors.get("part_of", default))).alias("c"))
     both = e.unionByName(m).where("u <> v and c > 0")
     for end in ("u", "v"):
-        both = skew_join(both, ids.select(F.col("id").alias(end)), [end], "left_semi")
+        both = skew_join(materialize(both, "terms"), ids.select(F.col("id").alias(end)), [end], "left_semi")
     arcs = both.select(F.explode(F.array(F.struct("u", "v", "c"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "c"))).alias("a")).select("a.*")
     return arcs.groupBy("u", "v").agg(F.sum("c").alias("c"))
 
 
 def transition(arcs: DataFrame) -> DataFrame:
     """(u, v, p): conductance as a share of what leaves u."""
+    arcs = arcs if rows_of(arcs) is not None else materialize(arcs, "conductance")
     out = arcs.groupBy("u").agg(F.sum("c").alias("s"))
     return skew_join(arcs, out, ["u"]).select("u", "v", (F.col("c") / F.col("s")).alias("p"))
 
@@ -73,38 +74,50 @@ def personalized_pagerank(teleport: DataFrame, steps: DataFrame, damping: float
 
     ``teleport`` (case_id, id, mass) need not be normalised; masses not above 0 are left out and a case without any has no rows.
     ``steps`` is ``transition``'s result. Nodes without a step give their mass back to the teleport. Iteration stops
-    after ``rounds`` or when the masses of every case moved by less than ``tolerance`` (looked at every fifth round by the join engine).
+    after ``rounds``, and for each case as soon as its masses moved by less than ``tolerance`` in a round.
 
     ``engine``: ``join`` iterates by joins, for graphs of any size and all cases at once; ``kernel``
-    iterates in one task per block of cases; ``auto`` takes the kernel while the counted arcs stay within ``KERNEL_ARCS``.
+    iterates in one task per block of cases; ``auto`` takes the kernel while the counted arcs stay within ``KERNEL_ARCS``. Both stop by the same rule.
     """
-    start = teleport.where("mass > 0 and id is not null").groupBy("case_id", "id").agg(F.sum("mass").alias("mass"))
-    total = start.groupBy("case_id").agg(F.sum("mass").alias("total"))
-    start = start.join(F.broadcast(total), "case_id").select("case_id", "id", (F.col("mass") / F.col("total")).alias("mass"))
+    start = materialize(teleport.where("mass > 0 and id is not null").groupBy("case_id", "id").agg(F.sum("mass").alias("mass")), "given")
+    total = small_side(start.groupBy("case_id").agg(F.sum("mass").alias("total")), "totals")
+    start = start.join(total, "case_id").select("case_id", "id", (F.col("mass") / F.col("total")).alias("mass"))
     start, steps = materialize(start, "teleport"), materialize(steps, "steps")
-    arcs = steps.count()
-    if engine == "kernel" or (engine == "auto" and arcs <= KERNEL_ARCS):
-        blocks = max(1, min(start.select("case_id").distinct().count(), int(start.count() * 8 // KERNEL_CELLS) + start.sparkSession.sparkContext.defaultParallelism))
+    if engine == "kernel" or (engine == "auto" and rows_of(steps) <= KERNEL_ARCS):
+        blocks = max(1, min(start.select("case_id").distinct().count(), int(rows_of(start) * 8 // KERNEL_CELLS) + start.sparkSession.sparkContext.defaultParallelism))
         part = F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int")
-        spread = steps.crossJoin(F.broadcast(start.select(part.alias("block")).distinct()))
+        # Each block of cases gets the arcs, which are few, once.
+        taken = [r[0] for r in start.select(part.alias("block")).distinct().collect()]
+        spread = steps.withColumn("block", F.explode(F.array(*map(F.lit, taken)).cast("array<int>")))
         kind = dict(start.dtypes)["case_id"]
         return spread.groupBy("block").cogroup(start.withColumn("block", part).groupBy("block")).applyInPandas(_kernel(damping, rounds, tolerance), f"case_id {kind}, id string, mass double")
     hubs = hot_keys(steps, ["u"])
     sources = steps.select(F.col("u").alias("id")).distinct()
-    pi = start
-    for r in range(rounds):
-        flow = skew_join(steps, pi.withColumnRenamed("id", "u"), ["u"], hot=hubs)
+    pi, given, settled = start, start, []
+    for _ in range(rounds):
+        # A hub's rows meet those of all cases: they are salted.
+        flow = skew_join(steps, pi.select("case_id", F.col("id").alias("u"), "mass"), ["u"], hot=hubs, keys=0)
         flow = flow.groupBy("case_id", F.col("v").alias("id")).agg((F.sum(F.col("mass") * F.col("p")) * damping).alias("mass"))
-        dead = pi.join(sources, "id", "left_anti").groupBy("case_id").agg(F.sum("mass").alias("dead"))
-        back = start.join(F.broadcast(dead), "case_id", "left").select("case_id", "id", (F.col("mass") * ((1 - damping) + damping * F.coalesce("dead", F.lit(0.0)))).alias("mass"))
-        new = materialize(flow.unionByName(back).groupBy("case_id", "id").agg(F.sum("mass").alias("mass")), "pi")
-        moved = None
-        if tolerance > 0 and r % 5 == 4:
-            diff = new.unionByName(pi.select("case_id", "id", (-F.col("mass")).alias("mass"))).groupBy("case_id", "id").agg(F.sum("mass").alias("d"))
-            moved = diff.groupBy("case_id").agg(F.sum(F.abs("d")).alias("d")).agg(F.max("d")).first()[0]
+        dead = small_side(pi.join(sources, "id", "left_anti").groupBy("case_id").agg(F.sum("mass").alias("dead")), "dead")
+        back = given.join(dead, "case_id", "left").select("case_id", "id", (F.col("mass") * ((1 - damping) + damping * F.coalesce("dead", F.lit(0.0)))).alias("mass"))
+        before = pi.select("case_id", "id", F.lit(0.0).alias("mass"), F.col("mass").alias("old"))
+        new = flow.unionByName(back).withColumn("old", F.lit(0.0)).unionByName(before).groupBy("case_id", "id").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old"))
+        new = materialize(new, "pi")
         if pi is not start:
             discard(pi)
         pi = new
-        if moved is not None and moved < tolerance:
-            break
-    return pi
+        if tolerance > 0:
+            moved = new.groupBy("case_id").agg(F.sum(F.abs(F.col("mass") - F.col("old"))).alias("d")).withColumn("open", F.col("d") >= tolerance)
+            moved = materialize(moved, "moved", open=F.count_if("open"))
+            still = measured(moved)["open"]
+            if still < rows_of(moved):
+                mark = F.broadcast(moved) if rows_of(moved) <= BROADCAST_ROWS else moved
+                settled.append(materialize(new.join(mark.where("not open").select("case_id"), "case_id", "left_semi"), "settled"))
+                going = mark.where("open").select("case_id")
+                pi = materialize(new.join(going, "case_id", "left_semi"), "pi")
+                given = materialize(given.join(going, "case_id", "left_semi"), "given")
+            if not still:
+                break
+    for part in settled:
+        pi = pi.unionByName(part, allowMissingColumns=True)
+    return pi.where("mass > 0").select("case_id", "id", "mass")

@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from memloom.operators.skew import skew_join
-from memloom.session import discard, materialize
+from memloom.operators.skew import HOT_ROWS, hot_keys, skew_join
+from memloom.session import discard, materialize, measured, rows_of
 
 
 def resolve_pointers(links: DataFrame, node: str = "node", parent: str = "parent", with_path: bool = False) -> DataFrame:
@@ -37,22 +37,22 @@ def resolve_pointers(links: DataFrame, node: str = "node", parent: str = "parent
     )
     known = base.select(F.col("node").alias("ptr"), F.lit(True).alias("there"))
     # A pointer to no node is an orphan's: settled before the first jump.
-    start = skew_join(start, known, ["ptr"], "left")
+    start = skew_join(start, known, ["ptr"], "left", hot=hot_keys(base, ["ptr"]))
     lost = F.col("there").isNull()
     start = start.select("node", "ptr", "hops", (F.col("done") | lost).alias("done"), F.when(lost, "orphan").otherwise("ok").alias("state"), *(["seg"] if with_path else []))
-    current, settled, written = materialize(start, "ptr"), [], [base]
+    count = lambda df: materialize(df, "ptr", done=F.count_if("done"))
+    current, settled = count(start), []
     while True:
         settled.append(current.where("done"))
-        written.append(current)
-        unresolved = current.where(~F.col("done"))
-        if unresolved.isEmpty():
+        if measured(current)["done"] == rows_of(current):
             break
+        unresolved = current.where(~F.col("done"))
+        open_rows = rows_of(current) - measured(current)["done"]
         jump = reduce(DataFrame.unionByName, [*settled, unresolved])
         jump = jump.select(F.col("node").alias("ptr"), F.col("ptr").alias("to"), F.col("hops").alias("more"), F.col("done").alias("ended"), F.col("state").alias("as"), *([F.col("seg").alias("up")] if with_path else []))
-        nxt = skew_join(unresolved.drop("done", "state"), jump, ["ptr"])
-        nxt = nxt.select("node", F.col("to").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("done"), F.col("as").alias("state"), *([F.concat("up", "seg").alias("seg")] if with_path else []))
-        nxt = materialize(nxt, "ptr")
-        if nxt.where("done").isEmpty():
+        nxt = skew_join(unresolved.drop("done", "state"), jump, ["ptr"], hot=hot_keys(unresolved, ["ptr"]) if open_rows > HOT_ROWS else None)
+        nxt = count(nxt.select("node", F.col("to").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("done"), F.col("as").alias("state"), *([F.concat("up", "seg").alias("seg")] if with_path else [])))
+        if not measured(nxt)["done"]:
             discard(nxt)
             break
         current = nxt

@@ -6,45 +6,73 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from memloom.session import discard, materialize, measured, rows_of
+
 #: A key is hot from this many rows on; below it a single task takes it without harm.
 HOT_ROWS = 100_000
-#: No more keys than this can each hold over 1/HOT_SHARE of the rows, which bounds what is broadcast.
-HOT_SHARE = 1_000
+#: Hot keys up to so many are gathered and their rows of the other side broadcast; if there are more, the hot rows are spread by salt instead.
+HOT_KEYS = 1_000
+#: A hot key's rows are spread over one salt for every so many of them.
+SALT_ROWS = 50_000
 
 
 def hot_keys(df: DataFrame, on: list[str], rows: int | None = None) -> DataFrame | None:
-    """The at most ``HOT_SHARE`` keys that hold more than that share of the rows, or None.
+    """(*on, _n): the keys of more than ``rows`` rows with their counts, written; None if there are none.
 
-    Counted with map-side combining, so a hot key costs one row per map task. Keys below
-    ``HOT_ROWS`` rows are never hot. The count over all rows is taken in the same pass.
+    Counted with map-side combining, so a hot key costs one row per map task. A table that was written and has no more than ``rows`` rows has none,
+    which takes no job to know.
     """
     rows = HOT_ROWS if rows is None else rows
+    known = rows_of(df)
+    if known is not None and known <= rows:
+        return None
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     counts = df.where(present).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    top = counts.orderBy(F.desc("_n")).limit(HOT_SHARE).drop("_n")  # TakeOrdered: HOT_SHARE rows at most
-    kept = top.collect()
-    return df.sparkSession.createDataFrame(kept, top.schema) if kept else None
+    found = materialize(counts, "hot")
+    if rows_of(found):
+        return found
+    discard(found)
+    return None
 
 
 UNKNOWN = object()
+#: A table of at most this many rows may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, label: str = "small", most: int | None = None) -> DataFrame:
+    """``df`` written, and marked for broadcast if it has at most ``most`` (``BROADCAST_ROWS``) rows; a larger one is left to be shuffled."""
+    out = materialize(df, label)
+    if rows_of(out) > (BROADCAST_ROWS if most is None else most):
+        return out
+    marked = F.broadcast(out)
+    marked._memloom_path, marked._memloom_measured = out._memloom_path, measured(out)
+    return marked
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None, hot=UNKNOWN) -> DataFrame:
-    """``left`` join ``right`` where ``right`` has one row per key and ``left`` may have hot keys.
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None, hot=UNKNOWN, keys: int | None = None) -> DataFrame:
+    """``left`` join ``right`` where ``left`` may have hot keys and ``right`` has few rows a key.
 
-    The hot keys (``HOT_SHARE`` at most) are answered by broadcasting just their rows of
-    ``right``; all other keys are shuffled and none of them exceeds what a task can take. Null keys
-    match nothing. ``how``: inner, left or left_semi. ``hot``: what ``hot_keys`` said of ``left``,
-    for callers that join the same ``left`` again and again.
+    All but the hot keys are shuffled as ever. The hot ones are answered by broadcasting just their rows of ``right`` while there are at most ``keys`` (``HOT_KEYS``) of them;
+    beyond that the hot rows of ``left`` get a salt, as many as their number calls for, and the rows of ``right`` one copy for each salt of their key, so that no task takes more than about ``SALT_ROWS`` of a key.
+    Null keys match nothing. ``how``: inner, left or left_semi. ``hot``: what ``hot_keys`` said of ``left``, for callers that join the same ``left`` again and again.
     """
     hot = hot_keys(left, on, rows) if hot is UNKNOWN else hot
     if hot is None:
         return left.join(right, on, how)
-    hot = F.broadcast(hot)
-    few = F.broadcast(right.join(hot, on, "left_semi"))
-    warm = left.join(hot, on, "left_semi").join(few, on, how)
-    cold = left.join(hot, on, "left_anti").join(right, on, how)
-    return cold.unionByName(warm)
+    number = measured(hot).get("rows")
+    few = number is not None and number <= (HOT_KEYS if keys is None else keys)
+    mark = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    cold = left.join(mark(hot.select(*on)), on, "left_anti").join(right, on, how)
+    if few:
+        warm = left.join(mark(hot.select(*on)), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot.select(*on)), on, "left_semi")), on, how)
+        return cold.unionByName(warm)
+    salts = hot.select(*on, F.ceil(F.col("_n") / SALT_ROWS).cast("int").alias("_salts"))
+    # The place of a row among the salts is drawn from its own values, so a task that runs again draws it again; rows that are alike in all columns stay together.
+    own = F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")])
+    warm = left.join(salts, on).withColumn("_salt", F.pmod(own, F.col("_salts")).cast("int")).drop("_salts")
+    copies = right.join(salts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return cold.unionByName(warm.join(copies, [*on, "_salt"], how).drop("_salt"))
 
 
 #: A group of at most this many rows is compared within one task; a larger one is cut into tiles.
@@ -62,9 +90,9 @@ def self_pairs(rows: DataFrame, key: str, ident: str, condition=None, band=None,
     check = condition or (lambda x, y: F.lit(True))
     ordered = F.col(f"a.{ident}") < F.col(f"b.{ident}")
     crowded = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile)
-    crowded = crowded.select(key, F.ceil(F.col("_n") / tile).cast("int").alias("_parts")).persist()
-    if crowded.isEmpty():
-        crowded.unpersist()
+    crowded = crowded.select(key, F.ceil(F.col("_n") / tile).cast("int").alias("_parts"))
+    crowded = small_side(crowded, "crowded")
+    if not rows_of(crowded):
         return a.join(b, key).where(ordered & check(F.col("a"), F.col("b"))).select("a", "b")
     cold = a.join(crowded, key, "left_anti").join(b, key).where(ordered & check(F.col("a"), F.col("b"))).select("a", "b")
     full = rows.join(crowded, key).withColumn("_b", band(rows) if band else F.lit(0)).withColumn("_p", F.pmod(F.xxhash64(ident), F.col("_parts")).cast("int"))

@@ -9,7 +9,9 @@ from memloom.operators.bm25 import bm25, normalised
 from memloom.operators.pagerank import conductance, personalized_pagerank, transition
 from memloom.plans import config
 from memloom.plans.frames import edges, memberships, vertices
-from memloom.session import materialize
+from memloom.operators.ordering import global_positions
+from memloom.operators.skew import BROADCAST_ROWS, skew_join, small_side
+from memloom.session import materialize, rows_of
 
 
 def corpus(nodes: DataFrame) -> DataFrame:
@@ -57,8 +59,8 @@ def activations(masses: DataFrame, nodes: DataFrame, lift: bool = False) -> Data
     """(case_id, id, activation): mass times the prior of the node's status, rescaled so that the top of a case is 1. Rounded to 12 digits, so that equal nodes tie."""
     prior = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in config.STATUS_PRIORS.items() for x in p]), F.coalesce("status", F.lit("active"))), F.lit(1.0))
     scaled = masses.join(vertices(nodes, "status"), "id").select("case_id", "id", (F.col("mass") * (F.lit(1.0) if lift else prior)).alias("a"))
-    peak = scaled.groupBy("case_id").agg(F.max("a").alias("peak"))
-    return scaled.join(F.broadcast(peak), "case_id").select("case_id", "id", F.round(F.col("a") / F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0), 12).alias("activation"))
+    peak = small_side(scaled.groupBy("case_id").agg(F.max("a").alias("peak")), "peaks")
+    return scaled.join(peak, "case_id").select("case_id", "id", F.round(F.col("a") / F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0), 12).alias("activation"))
 
 
 def trust_marks(warn: float) -> Column:
@@ -91,12 +93,16 @@ def rendered(warn: float, compact: bool) -> Column:
     return out.when(operational | ruling, block).otherwise(line)
 
 
-def pack(active: DataFrame, nodes: DataFrame, settings: dict, compact: bool = False) -> DataFrame:
+#: Up to this many ranked rows a pack folds them all.
+FOLDED = 100_000
+
+
+def pack(active: DataFrame, nodes: DataFrame, settings: dict, compact: bool = False, folded: int = FOLDED) -> DataFrame:
     """(case_id, tier, ord, id, activation, cost): first fit in the order of activation, then id.
 
     A node at or above the threshold goes to its tier if its estimated cost still fits the tier's budget, else
-    to the periphery; later, smaller ones may still fit. The fold runs per case and tier over an array of the nodes at or above the
-    threshold, of which there are at most 1 / (threshold · top mass); what alone exceeds the budget never enters it.
+    to the periphery; later, smaller ones may still fit. Room only shrinks, so of the nodes of one cost in a tier those kept are the first ones, at most room / cost of them: where there are more rows than ``FOLDED`` only these,
+    found by a range-partitioned sort, enter the fold, and a case and tier folds at most room · ln(room) rows, whatever the data.
     """
     budget = dict(settings["budget"])
     if compact:
@@ -105,14 +111,23 @@ def pack(active: DataFrame, nodes: DataFrame, settings: dict, compact: bool = Fa
     rows = active.where(F.col("activation") >= settings["threshold"]).join(info, "id").withColumn("cost", token_estimate(rendered(settings["warn_confidence"], compact)))
     limit = F.element_at(F.create_map(*[F.lit(x) for t in ("strategic", "tactical", "operational") for x in (t, budget[t])]), F.col("tier"))
     rows = materialize(rows.select("case_id", "tier", "id", "activation", "cost", limit.alias("room")), "ranked")
+    fits = rows.where("cost <= room")
+    if rows_of(rows) > folded:
+        at = global_positions(fits, [F.col("case_id"), F.col("tier"), F.col("cost"), F.desc("activation"), F.col("id")], "_at", "by_cost")
+        first = at.groupBy("case_id", "tier", "cost").agg(F.min("_at").alias("_first"))
+        fits = skew_join(at, first, ["case_id", "tier", "cost"]).where((F.col("_at") - F.col("_first")) < F.floor(F.col("room") / F.col("cost"))).drop("_at", "_first")
     order = lambda a, b: F.when(a["activation"] > b["activation"], -1).when(a["activation"] < b["activation"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
-    fits = rows.where("cost <= room").groupBy("case_id", "tier", "room").agg(F.array_sort(F.collect_list(F.struct("activation", "id", "cost")), order).alias("xs"))
+    fits = fits.groupBy("case_id", "tier", "room").agg(F.array_sort(F.collect_list(F.struct("activation", "id", "cost")), order).alias("xs"))
     start = F.struct(F.lit(0).alias("spent"), F.array().cast("array<string>").alias("ids"))
     fold = F.aggregate("xs", start, lambda s, x: F.when(s["spent"] + x["cost"] <= F.col("room"), F.struct((s["spent"] + x["cost"]).alias("spent"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s), lambda s: s["ids"])
-    chosen = fits.select("case_id", F.explode(fold).alias("id"), F.lit(True).alias("kept"))
-    placed = rows.join(chosen, ["case_id", "id"], "left").select("case_id", F.when(F.col("kept"), F.col("tier")).otherwise("periphery").alias("tier"), "id", "activation", "cost")
-    placed = placed.withColumn("ord", F.row_number().over(Window.partitionBy("case_id", "tier").orderBy(F.desc("activation"), "id")))
-    return placed.where((F.col("tier") != "periphery") | (F.col("ord") <= budget["periphery"])).select("case_id", "tier", "ord", "id", "activation", "cost")
+    chosen = materialize(fits.select("case_id", F.explode(fold).alias("id"), F.lit(True).alias("kept")), "chosen")
+    mark = F.broadcast(chosen) if rows_of(chosen) <= BROADCAST_ROWS else chosen
+    placed = rows.join(mark, ["case_id", "id"], "left")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("activation"), "id"))
+    kept = placed.where("kept").withColumn("ord", rank("case_id", "tier"))
+    # The rest is cut to its first rows in every task before it is shuffled.
+    rest = placed.where("kept is null").withColumn("tier", F.lit("periphery")).withColumn("ord", rank("case_id")).where(F.col("ord") <= budget["periphery"])
+    return kept.unionByName(rest).select("case_id", "tier", "ord", "id", "activation", "cost")
 
 
 def inflow(masses: DataFrame, steps: DataFrame, top: DataFrame, damping: float, k: int = 3) -> DataFrame:

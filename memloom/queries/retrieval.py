@@ -10,7 +10,7 @@ from memloom.operators.pagerank import personalized_pagerank
 from memloom.plans import config
 from memloom.plans.frames import vertices
 from memloom.plans.retrieve import activations, blended, conflict_nodes, corpus, graph_conductance, graph_steps, inflow, pack, retrieve, with_conflicts
-from memloom.session import table
+from memloom.session import materialize, table
 
 #: The stated queries of the retrieval operators, one case each.
 ASKED = {
@@ -81,6 +81,16 @@ def ppr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masses(spark, sf_dir, "join").where("mass >= 5e-9").select("case_id", "id", F.round("mass", 8).alias("mass"))
 
 
+def ppr_early_stop(spark: SparkSession, sf_dir: str, engine: str = "auto") -> DataFrame:
+    """Each case stops by itself, as soon as a round moves less than a hundredth of its mass."""
+    found = personalized_pagerank(_seeds(spark, sf_dir).withColumnRenamed("score", "mass"), graph_steps(table(spark, sf_dir, "nodes")), tolerance=0.01, engine=engine)
+    return found.where("mass >= 5e-9").select("case_id", "id", F.round("mass", 8).alias("mass"))
+
+
+def ppr_early_stop_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppr_early_stop(spark, sf_dir, "join")
+
+
 def ppr_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppr_batched(spark, sf_dir).where("case_id = 'q2'").select("id", "mass")
 
@@ -125,7 +135,7 @@ def conflict_teleport(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explain_inflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three strongest sources of each of a case's five strongest nodes."""
     nodes = table(spark, sf_dir, "nodes")
-    masses = _masses(spark, sf_dir).persist()
+    masses = materialize(_masses(spark, sf_dir), "masses")
     top = masses.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round("mass", 12)), "id"))).where("r <= 5").select("case_id", "id")
     return inflow(masses, graph_steps(nodes), top, 0.85).select("case_id", "id", "rank", "source", "mass", "share")
 
@@ -137,7 +147,7 @@ def top_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, bm25_seed_norm, blend_seed, conductance, out_strength, ppr_batched, ppr_join, ppr_single, ppr_status_prior, retrieve_pack, retrieve_compact, retrieve_conflict, stale_in_pack, conflict_seeds, conflict_teleport, explain_inflow, top_seeds)
+    for f in (bm25_topk, bm25_seed_norm, blend_seed, conductance, out_strength, ppr_batched, ppr_join, ppr_early_stop, ppr_early_stop_join, ppr_single, ppr_status_prior, retrieve_pack, retrieve_compact, retrieve_conflict, stale_in_pack, conflict_seeds, conflict_teleport, explain_inflow, top_seeds)
 }
 
 _CASES = ", ".join(f"('{k}', '{v}')" for k, v in ASKED.items())
@@ -255,3 +265,9 @@ select case_id, id, cast(rank as integer) rank, source, round(given, 6) mass, ro
     "top_seeds": BASE + " select case_id, cast(rank as integer) rank, id from (select *, row_number() over (partition by case_id order by round(score, 9) desc, id) rank from sc) where rank <= 8",
 }
 SQL["ppr_join"] = SQL["ppr_batched"]
+SQL["ppr_early_stop"] = SQL["ppr_early_stop_join"] = (
+    BASE
+    + _ppr(_START)
+    + """, mv as (select case_id, r, sum(abs(d)) moved from (select case_id, id, r, sum(m) d from (select case_id, id, r, mass m from it where r > 0 union all select case_id, id, r + 1, -mass from it where r < 30) group by 1, 2, 3) group by 1, 2),
+ sp as (select case_id, coalesce(min(r) filter (moved < 0.01), 30) r from mv group by 1) select case_id, id, round(mass, 8) mass from it join sp using (case_id, r) where mass >= 5e-9"""
+)

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,20 +53,32 @@ def _own_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
+def materialize(df: DataFrame, label: str = "t", **measures: Column) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage without tying any block to an executor, so a lost executor costs a re-read
     and never a recomputation. Values made by non-deterministic expressions are fixed by the write.
+    Rows and ``measures`` (aggregates by name) are counted in the same pass: see ``rows_of`` and ``measured``.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._memloom_path = path
+    out._memloom_path, out._memloom_measured = path, seen.get
     return out
 
 
+def measured(df: DataFrame) -> dict:
+    """What ``materialize`` measured; empty for any other table."""
+    return getattr(df, "_memloom_measured", {})
+
+
+def rows_of(df: DataFrame) -> int | None:
+    """The number of rows of a table that ``materialize`` wrote; None where nothing has counted them."""
+    return measured(df).get("rows")
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove what ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_memloom_path", None)

@@ -1,3 +1,5 @@
+import random
+
 from memloom.plans import config
 from memloom.plans.retrieve import pack, retrieve
 
@@ -37,3 +39,13 @@ def test_first_fit_lets_later_small_nodes_in(spark):
     active = spark.createDataFrame([("q", "n1", 1.0), ("q", "n2", 0.9), ("q", "n3", 0.8), ("q", "n1x", 0.01)], "case_id string, id string, activation double")
     got = {r["id"]: (r["tier"], r["ord"]) for r in pack(active, nodes, config.profile(budget={"operational": 14})).collect()}
     assert got == {"n1": ("operational", 1), "n3": ("operational", 2), "n2": ("periphery", 1)}
+
+
+def test_fold_over_the_first_of_each_cost(spark):
+    """Where only the first rows of each cost enter the fold the pack is the same."""
+    r = random.Random(5)
+    nodes = spark.createDataFrame([node(f"n{i}", r.choice(["section", "module", "hub"]), body="x" * r.randrange(60), summary="y" * r.randrange(20)) for i in range(150)], NODE)
+    active = spark.createDataFrame([(q, f"n{i}", round(0.02 + r.randrange(20) / 25, 3)) for q in "qz" for i in range(150)], "case_id string, id string, activation double")
+    settings = config.profile(budget={"operational": 90, "tactical": 40, "strategic": 25, "periphery": 7})
+    whole = sorted(map(tuple, pack(active, nodes, settings).collect()))
+    assert whole == sorted(map(tuple, pack(active, nodes, settings, folded=0).collect())) and len(whole) > 20
