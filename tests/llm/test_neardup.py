@@ -39,8 +39,8 @@ def test_equals_brute_force(spark, monkeypatch):
     got = [tuple(r) for r in record_pairs(members, pairs).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 40
     assert members.where("record_id in ('empty', 'null', 'marks')").count() == 0
-    # the same through crowded tiles and without known frequencies
-    monkeypatch.setattr(neardup, "FREQUENT", 1)
+    # the same through crowded tiles, and with parts that are all taken for small
+    monkeypatch.setattr(neardup, "SMALL_PART", 9)
     monkeypatch.setattr(neardup, "self_pairs", lambda *a: __import__("memloom.operators.skew", fromlist=["x"]).self_pairs(*a, tile=5))
     members, pairs = near_duplicates(df, "id", F.col("said"))
     assert {tuple(r) for r in record_pairs(members, pairs).collect()} == want
