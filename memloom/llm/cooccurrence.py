@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.operators.skew import skew_join
-from memloom.session import materialize
+from memloom.session import materialize, rows_of
 
 #: Items of a basket that one task expands against each other; larger baskets are cut into blocks of about this size.
 BLOCK = 256
@@ -35,17 +35,20 @@ def item_pairs(rows: DataFrame, basket: str, item: str, min_common: int = 1, min
     coded = materialize(skew_join(seen, items.select("item", "k"), ["item"]).select("basket", "k"), "coded")
     # Basket sizes combine on the map side; only baskets of more than one item have pairs.
     sizes = coded.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    large = sizes.where(F.col("size") > block)
+    large = materialize(sizes.where(F.col("size") > block), "large")
     small = coded.join(sizes.where(F.col("size") <= block).select("basket"), "basket", "left_semi")
     whole = small.groupBy("basket").agg(F.array_sort(F.collect_list("k")).alias("left")).select("left", F.lit(None).cast("array<bigint>").alias("right"))
-    if not large.isEmpty():
+    if rows_of(large):
         cut = skew_join(coded, large.withColumn("parts", F.ceil(F.col("size") / block).cast("int")), ["basket"])
         cut = cut.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
-        blocks = materialize(cut.groupBy("basket", "part").agg(F.array_sort(F.collect_list("k")).alias("ks")), "blocks")
+        blocks = materialize(cut.groupBy("basket", "part", "parts").agg(F.array_sort(F.collect_list("k")).alias("ks")), "blocks")
         own = blocks.select(F.col("ks").alias("left"), F.lit(None).cast("array<bigint>").alias("right"))
-        other = blocks.select("basket", F.col("part").alias("later"), F.col("ks").alias("right"))
-        cross = blocks.join(other, "basket").where("part < later").select(F.col("ks").alias("left"), "right")
-        whole = whole.unionByName(own).unionByName(cross)
+        # Every pair of blocks is a key of its own: a block goes to each pair it is in.
+        others = blocks.where("parts > 1").select("basket", "part", "ks", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).where("part <> other")
+        key = [F.col("basket"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")]
+        former = others.where("part < other").select(*key, F.col("ks").alias("left"))
+        later = others.where("part > other").select(*key, F.col("ks").alias("right"))
+        whole = whole.unionByName(own).unionByName(former.join(later, ["basket", "lo", "hi"]).select("left", "right"))
     weights = whole.groupBy("left", "right").agg(F.count(F.lit(1)).alias("weight"))
     within = F.flatten(F.transform("left", lambda x, i: F.transform(F.slice("left", i + 2, F.size("left")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     across = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from memloom.llm.components import connected_groups
 from memloom.llm.conversations import rebuild_conversations
@@ -10,7 +10,7 @@ from memloom.llm.cooccurrence import counting_links, item_pairs
 from memloom.llm.leakage import leaked_items
 from memloom.llm.neardup import near_duplicates, record_pairs, unfiled_nodes
 from memloom.llm.quality import outlier_scores
-from memloom.llm.splitting import split_units
+from memloom.llm.splitting import LIMIT, OVERLAP, split_units
 from memloom.llm.tokenizer import decode_corpus, encode_corpus
 from memloom.session import table
 
@@ -25,9 +25,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of targets with a common source, with counts and exact lift as a fraction of counts."""
+    """Every pair of targets with a common source, with counts, lift and conviction."""
     found = item_pairs(counting_links(table(spark, sf_dir, "links")), "source", "target")
-    return found.select("item_a", "item_b", "common", "count_a", "count_b", "baskets")
+    return found.select("item_a", "item_b", "common", "count_a", "count_b", "baskets", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,17 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_units(table(spark, sf_dir, "units"))
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit that was cut, put together again from its pieces: its length, the hash of the whole, and whether every piece keeps the limit and repeats the end of the one before."""
+    pieces = p3_pieces(spark, sf_dir)
+    before = F.lag(F.struct("char_end", "text")).over(Window.partitionBy("id", "content_sha").orderBy("piece_no"))
+    fresh = F.when(F.col("piece_no") == 1, F.col("text")).otherwise(F.expr(f"substring(text, {OVERLAP + 1})"))
+    repeats = F.col("b").isNull() | ((F.col("char_start") == F.col("b.char_end") - OVERLAP) & (F.expr(f"right(b.text, {OVERLAP})") == F.expr(f"left(text, {OVERLAP})")))
+    rows = pieces.withColumn("b", before).withColumn("keeps", repeats & (F.length("text") <= LIMIT) & (F.length("text") == F.col("char_end") - F.col("char_start")))
+    out = rows.groupBy("id", "content_sha").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", fresh.alias("t")))), lambda x: x["t"]), "").alias("whole"), F.bool_and("keeps").alias("keeps"))
+    return out.select("id", "content_sha", F.length("whole").alias("chars"), F.sha2("whole", 256).alias("sha"), "keeps")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pairs = near_duplicates(unfiled_nodes(table(spark, sf_dir, "nodes")), "id", F.col("said"))
     return record_pairs(members, pairs).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
@@ -86,13 +97,14 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pairs, p3_found, p3_pieces, p5_found, p6_found, p6_conversations, p8_ids, p8_roundtrip, p9_found, p9_items, p9_edits, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pairs, p3_found, p3_pieces, p3_rejoined, p5_found, p6_found, p6_conversations, p8_ids, p8_roundtrip, p9_found, p9_items, p9_edits, p10_found, p10_scores)}
 
 _LINKS = "select distinct source s, target t from links where coact > 0 and target is not null and target <> source"
 _PAIRS = f"""
 with l as ({_LINKS}), n as (select t, count(*) c from l group by t), m as (select count(distinct s) b from l),
 p as (select x.t item_a, y.t item_b, count(*) common from l x join l y on x.s = y.s and x.t < y.t group by 1, 2)
-select item_a, item_b, common, a.c count_a, b.c count_b, m.b baskets
+select item_a, item_b, common, a.c count_a, b.c count_b, m.b baskets, round(common * m.b::double / (a.c::double * b.c), 6) lift,
+ case when common < a.c then round((1 - b.c / m.b::double) / (1 - common / a.c::double), 6) end conviction
 from p join n a on a.t = item_a join n b on b.t = item_b cross join m"""
 
 SQL = {
@@ -104,6 +116,8 @@ select x record_id, min(y) group_id from r group by x""",
     "p2_found": f"select item_a, item_b from ({_PAIRS}) where common >= 5 and common * baskets >= 4 * count_a * count_b",
     "p2_pairs": _PAIRS,
     "p3_found": "select distinct id, content_sha from units where length(text) > 3000",
+    "p3_rejoined": "select id, content_sha, length(max(text)) chars, sha256(max(text)) sha, true keeps from units where length(text) > 3000 group by id, content_sha",
+    "p8_roundtrip": "select doc_id, true same from documents",
     "p5_found": r"""
 with d as (select id, max(concat_ws(' ', summary, body)) t from nodes where source_kind <> 'derived_from_file' and id is not null group by id),
 k as (select id, unnest(list_distinct(list_transform(regexp_extract_all(t, '[\p{L}\p{N}_]+'), lambda x: lower(x)))) w from d),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 LIMIT = 3_000
 OVERLAP = 200
 #: A target may move by this share of a piece to reach a boundary.
-REACH = 0.2
+REACH = 0.3
 
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _PARAGRAPH = re.compile(r"(?:\r\n|[\n\r\x85\u2028])(?:[ \t]*(?:\r\n|[\n\r\x85\u2028]))+|\u2029")
@@ -31,7 +31,8 @@ def boundaries(text: str) -> dict[int, list[int]]:
 
 
 def _nearest(places: list[int], target: float, lo: int, hi: int) -> int | None:
-    i = bisect_left(places, target)
+    """The place between ``lo`` and ``hi`` that is nearest to ``target``."""
+    i = bisect_left(places, min(max(target, lo), hi))
     near = [places[j] for j in (i - 1, i) if 0 <= j < len(places) and lo <= places[j] <= hi]
     return min(near, key=lambda p: (abs(p - target), p)) if near else None
 
@@ -44,59 +45,35 @@ def _hard(text: str, at: int, lo: int) -> int:
     return back if back > lo else at
 
 
-def _cuts(text: str, where: dict[int, list[int]], n: int, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """The n - 1 cuts (offset, strength) of n pieces: each target moved to the strongest boundary in reach, the nearest of its kind.
-
-    Every choice leaves the current piece within the limit and enough room for the pieces to come.
-    """
-    size, fresh = len(text), limit - overlap
-    step = (size - overlap) / n
-    cuts, last = [], 0
-    for i in range(1, n):
-        target = overlap + i * step
-        lo = max(last + 1 if last else overlap + 1, size - fresh * (n - i))
-        hi = min(last + fresh if last else limit, size - 1)
-        near_lo, near_hi = max(lo, int(target - REACH * (step + overlap))), min(hi, int(target + REACH * (step + overlap)))
-        found = None
-        for strength in (PARAGRAPH, LINE, SENTENCE):
-            if (p := _nearest(where[strength], target, near_lo, near_hi)) is not None:
-                found = (p, strength)
-                break
-        if not found:  # none in reach: any at all within the limits, before a word is split
-            for strength in (SENTENCE, LINE, PARAGRAPH, WORD, MARK):
-                if (p := _nearest(where[strength], target, lo, hi)) is not None:
-                    found = (p, strength)
-                    break
-        cuts.append(found or (_hard(text, min(max(int(target), lo), hi), lo), NONE))
-        last = cuts[-1][0]
-    return cuts
+def _snapped(text: str, where: dict[int, list[int]], target: float, lo: int, hi: int, reach: float) -> tuple[int, int]:
+    """(offset, strength): the strongest boundary within ``reach`` of the target, the nearest of its kind; if there is none any other between ``lo`` and ``hi``, before a word is split."""
+    near_lo, near_hi = max(lo, int(target - reach)), min(hi, int(target + reach))
+    for kinds, a, b in (((PARAGRAPH, LINE, SENTENCE), near_lo, near_hi), ((SENTENCE, LINE, PARAGRAPH, WORD, MARK), lo, hi)):
+        for strength in kinds:
+            if (p := _nearest(where[strength], target, a, b)) is not None:
+                return p, strength
+    return _hard(text, min(max(int(target), lo), hi), lo), NONE
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """(start, end, boundary) of each piece of ``text``; boundary says what kind of place the piece ends at.
 
     At most ``limit`` characters a piece; each after the first starts ``overlap`` characters before
-    the end of the one before. A text within the limit is one piece. The fewest pieces that all end
-    at a paragraph, line or sentence are taken; pieces are added for that up to twice the
-    minimum, then the plan with the fewest cuts elsewhere wins.
+    the end of the one before. A text within the limit is one piece. The least number of pieces sets targets at equal distances and each is moved to the strongest boundary near it;
+    where what is left no longer fits into the pieces that are left, a piece is added and the targets to come are balanced anew. The time is in proportion to the text and the number of its boundaries.
     """
     if limit <= overlap or overlap < 0:
         raise ValueError("the limit must exceed the overlap")
     if len(text) <= limit:
         return [(0, len(text), "end")]
-    where = boundaries(text)
-    least = -(-(len(text) - overlap) // (limit - overlap))
-    best: list[tuple[int, int]] = []
-    for n in range(least, 2 * least + 2):
-        cuts = _cuts(text, where, n, limit, overlap)
-        poor = sum(s < SENTENCE for _, s in cuts)
-        if not best or poor < sum(s < SENTENCE for _, s in best):
-            best = cuts
-        if not poor or (n == least and not any(where[s] for s in (PARAGRAPH, LINE, SENTENCE))):
-            break
-    edges = [*best, (len(text), PARAGRAPH)]
-    starts = [0, *(c - overlap for c, _ in best)]
-    return [(a, b, "end" if b == len(text) else _NAMES[s]) for a, (b, s) in zip(starts, edges, strict=True)]
+    where, fresh, end = boundaries(text), limit - overlap, len(text)
+    cuts, last, left = [], overlap, -(-(end - overlap) // fresh)
+    while (left := max(left, -(-(end - last) // fresh))) > 1:
+        step = (end - last) / left
+        cuts.append(_snapped(text, where, last + step, last + 1, min(last + fresh, end - 1), REACH * (step + overlap)))
+        last, left = cuts[-1][0], left - 1
+    starts = [0, *(c - overlap for c, _ in cuts)]
+    return [(a, b, "end" if b == end else _NAMES[s]) for a, (b, s) in zip(starts, [*cuts, (end, PARAGRAPH)], strict=True)]
 
 
 def first_line(lineno, line_end, lines: int) -> int | None:

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from memloom.llm.components import connected_groups
+from memloom.llm.components import BETA, connected_groups, decomposed
 from memloom.llm.cooccurrence import counting_links, item_pairs
 
 
@@ -27,8 +28,24 @@ def test_groups_equal_union_find(spark):
     pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("hub", f"s{i}") for i in range(80)] + [(f"r{r.randrange(50)}", f"r{r.randrange(50)}") for _ in range(40)]
     pairs += [(b, a) for a, b in pairs[:9]] + pairs[:5] + [("x", "x"), (None, "y"), ("z", None), (None, None)]
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("v", F.lit(1)).withColumn("record_id", F.lit("clash"))
-    got = connected_groups(df).collect()
-    assert {r["record_id"]: r["group_id"] for r in got} == union_find(pairs) and len(got) == len(union_find(pairs))
+    # In one task; by joins until few edges are left; by joins to the end.
+    for local in (2_000_000, 60, 0):
+        got = connected_groups(df, local_edges=local).collect()
+        assert {r["record_id"]: r["group_id"] for r in got} == union_find(pairs) and len(got) == len(union_find(pairs)), local
+
+
+def test_share_of_edges_cut():
+    """A level keeps about 1 - exp(-BETA) of the edges, as the decomposition promises, and the clusters of the last are the components."""
+    side = 120
+    at = np.arange(side * side).reshape(side, side)
+    x, y = np.concatenate([at[:, :-1].ravel(), at[:-1].ravel()]), np.concatenate([at[:, 1:].ravel(), at[1:].ravel()])
+    firsts = []
+    for seed in range(5):
+        whole, cut = decomposed(x, y, seed=seed)
+        firsts.append(cut[0])
+        assert len(set(whole.tolist())) == 1 and cut[-1] == 0 and len(cut) <= 12
+    assert np.mean(firsts) <= 1 - np.exp(-BETA) + 0.02
+    assert decomposed(np.empty(0, int), np.empty(0, int))[1] == []
 
 
 def test_groups_of_nothing(spark):
