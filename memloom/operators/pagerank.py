@@ -82,7 +82,8 @@ def personalized_pagerank(teleport: DataFrame, steps: DataFrame, damping: float
     start = materialize(teleport.where("mass > 0 and id is not null").groupBy("case_id", "id").agg(F.sum("mass").alias("mass")), "given")
     total = small_side(start.groupBy("case_id").agg(F.sum("mass").alias("total")), "totals")
     start = start.join(total, "case_id").select("case_id", "id", (F.col("mass") / F.col("total")).alias("mass"))
-    start, steps = materialize(start, "teleport"), materialize(steps, "steps")
+    start = materialize(start, "teleport")
+    steps = steps if rows_of(steps) is not None else materialize(steps, "steps")
     if engine == "kernel" or (engine == "auto" and rows_of(steps) <= KERNEL_ARCS):
         blocks = max(1, min(start.select("case_id").distinct().count(), int(rows_of(start) * 8 // KERNEL_CELLS) + start.sparkSession.sparkContext.defaultParallelism))
         part = F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int")

@@ -6,6 +6,8 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from memloom.session import materialize
+
 
 def normal_hash(c: Column) -> Column:
     """A hash without regard to case, surrounding blanks and a leading ``sha256:``; null stays null."""
@@ -13,7 +15,7 @@ def normal_hash(c: Column) -> Column:
     return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
-def snapshot_changes(states: DataFrame, state: str, key: str, fields: list[str], latest: str | None = None, lowest_is_base: bool = False) -> DataFrame:
+def snapshot_changes(states: DataFrame, state: str, key: str, fields: list[str], latest: str | None = None, lowest_is_base: bool = False, base=None) -> DataFrame:
     """(state, key, change, changed_fields) against the preceding delivered state.
 
     ``states`` holds full states stacked in one table; ``state`` orders them and need not be
@@ -21,7 +23,8 @@ def snapshot_changes(states: DataFrame, state: str, key: str, fields: list[str],
     with the greatest ``latest`` (then the greatest fields) counts, so rows repeated or delivered late change nothing. Rows
     with a null key or state are dropped. A null field equals only a null field. ``change`` is added,
     removed or changed; ``changed_fields`` is sorted and empty for added and removed. The lowest
-    state has no predecessor: all its records are added, unless it is the base to compare with (``lowest_is_base``).
+    state has no predecessor: all its records are added, unless it is the base to compare with (``lowest_is_base``). ``base`` names a state
+    that is a base only, below all others; where it has no rows the lowest other state is compared with an empty one.
 
     Every record becomes signed cells, + in its own state's comparison and - in the next one's: one
     presence marker and one (field, value) per field. Cells that cancel leave no trace; what
@@ -30,7 +33,8 @@ def snapshot_changes(states: DataFrame, state: str, key: str, fields: list[str],
     """
     rows = states.select(F.col(state).alias("_s"), F.col(key).alias("_k"), F.struct(*([F.col(latest).alias("_at")] if latest else []), *fields).alias("_v")).where("_s is not null and _k is not null")
     rows = rows.groupBy("_s", "_k").agg(F.max("_v").alias("_v"))
-    order = sorted(r[0] for r in rows.select("_s").distinct().collect())
+    rows = materialize(rows, "states")
+    order = sorted({r[0] for r in rows.select("_s").distinct().collect()} | ({base} if base is not None else set()))
     following = dict(pairwise(order))
     kind = dict(rows.dtypes)["_s"]
     signed = [F.struct(F.col("_s").alias("t"), F.lit(1).alias("sign"))]
@@ -40,7 +44,7 @@ def snapshot_changes(states: DataFrame, state: str, key: str, fields: list[str],
     cells = [F.struct(F.lit("").alias("field"), F.lit(None).cast("string").alias("value"))]
     cells += [F.struct(F.lit(f).alias("field"), F.col(f"_v.{f}").cast("string").alias("value")) for f in fields]
     cells = rows.select("_k", F.explode(F.array(*signed)).alias("c"), F.array(*cells).alias("cells")).where("c.t is not null")
-    if lowest_is_base and order:
+    if (lowest_is_base or base is not None) and order:
         cells = cells.where(F.col("c.t") != F.lit(order[0]).cast(kind))
     cells = cells.select("_k", "c.t", "c.sign", F.explode("cells").alias("cell"))
     left = cells.groupBy("t", "_k", "cell.field", "cell.value").agg(F.sum("sign").alias("sum")).where("sum <> 0")
@@ -62,11 +66,15 @@ def edited_files(unit_snapshots: DataFrame) -> DataFrame:
     return rows.join(changed, "id", "left_semi").where("coalesce(source_path, '') <> ''").select("source_path").distinct()
 
 
+def base_state(unit_snapshots: DataFrame) -> int:
+    """The number of the state before the lowest snapshot."""
+    return (unit_snapshots.agg(F.min("snap_no")).first()[0] or 0) - 1
+
+
 def unit_states(nodes: DataFrame, unit_snapshots: DataFrame) -> DataFrame:
-    """The snapshots of units, with the file-derived nodes before them as state null-safe minimum - 1."""
+    """The snapshots of units, with the file-derived nodes before them as ``base_state``."""
     base = nodes.where("source_kind = 'derived_from_file'").select(
         F.lit(None).cast("int").alias("snap_no"), "id", normal_hash(F.col("source_hash")).alias("content_sha"), "source_path", "policy", F.lit(None).cast("timestamp_ntz").alias("taken_at")
     )
     snaps = unit_snapshots.select("snap_no", "id", normal_hash(F.col("content_sha")).alias("content_sha"), "source_path", "policy", F.col("taken_at").cast("timestamp_ntz").alias("taken_at")).where("snap_no is not null")
-    lowest = unit_snapshots.agg(F.min("snap_no")).first()[0]
-    return snaps.unionByName(base.withColumn("snap_no", F.lit((lowest or 0) - 1)))
+    return snaps.unionByName(base.withColumn("snap_no", F.lit(base_state(unit_snapshots))))

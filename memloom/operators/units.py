@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memloom.functions.text import subtree
+from memloom.operators.ordering import partition_offsets, sorted_with_local_rows
 from memloom.operators.skew import skew_join
+from memloom.session import materialize
 
 
 def newest_units(units: DataFrame) -> DataFrame:
@@ -118,22 +121,108 @@ def structural_edges(units: DataFrame) -> DataFrame:
     return defines.unionByName(used).unionByName(imports).unionByName(follows).groupBy("src", "rel", "dst").agg(F.max("w").alias("w"))
 
 
+def _advance(state: tuple, sizes: list, parts: list, most: int, chars: int):
+    """(state, batch of each row) of the fold from ``state`` (part, batch, count, size) on."""
+    part, batch, count, size = state
+    out = []
+    for p, n in zip(parts, sizes, strict=True):
+        if p != part:
+            part, batch, count, size = p, 1, 0, 0
+        elif count and (count >= most or size + n > chars):
+            batch, count, size = batch + 1, 0, 0
+        count, size = count + 1, size + n
+        out.append(batch)
+    return (part, batch, count, size), out
+
+
+def _summaries(most: int, chars: int):
+    """Of one range of rows: what the fold needs to know of it, whatever it is entered with.
+
+    As long as a batch is open that began before the range, only how many rows from its start on still belong to it is unknown, and a batch has at most ``most`` rows. So for each of these numbers
+    the state at the end is given, with the sizes of these first rows.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_row")
+        sizes, parts = rows["n"].tolist(), rows["part"].tolist()
+        same = next((i for i, p in enumerate(parts) if p != parts[0]), len(parts))
+        head = sizes[: min(most, same)]
+        # ends[k]: the state after the range if its row k begins a batch; counted back from the end, each row jumps to the start of the next batch.
+        m, total, at = len(sizes), [0], 0
+        for n in sizes:
+            total.append(total[-1] + n)
+        nxt, stop = [0] * m, 0
+        for i in range(m):
+            stop = max(stop, i + 1)
+            while stop < m and parts[stop] == parts[i] and stop - i < most and total[stop + 1] - total[i] <= chars:
+                stop += 1
+            nxt[i] = stop
+        end: list = [None] * (m + 1)
+        for i in range(m - 1, -1, -1):
+            j = nxt[i]
+            if j == m:
+                end[i] = (parts[i], 0, m - i, total[m] - total[i])
+            else:
+                p, b, c, z = end[j]
+                end[i] = (p, b + (p == parts[i] == parts[j]), c, z)
+        # Batches are numbered within a part: the number at the end counts from the last row that begins a part, or from row k where the part goes on.
+        out = []
+        for k in range(len(head) + 1):
+            if k < m:
+                p, _, c, z = end[k]
+                b, i = 1, k
+                while nxt[i] < m:
+                    b = b + 1 if parts[nxt[i]] == parts[i] else 1
+                    i = nxt[i]
+                out.append((k, p, b, c, z, p == parts[0]))
+        return pd.DataFrame({"_part": rows["_part"].iloc[0], "first": parts[0], "rows": m, "same": same, "head": [head], "ends": [[list(map(str, e)) for e in out]]})
+
+    return run
+
+
 def queue_batches(queue: DataFrame, depth: int = 2, most: int = 60, chars: int = 120_000) -> DataFrame:
     """(part, batch, ord, id): work by directory in the order of ids, cut before a batch would exceed ``most`` units or ``chars`` characters.
 
-    A unit that alone exceeds the limit ships alone. The cut is a fold in order; it runs per directory over (id, characters) alone.
+    A unit that alone exceeds the limit ships alone. The cut is a fold in order over all units, sorted by range: each range is folded by a task of its own, from the state in which the ranges before it
+    end. That state is known before any is folded: a batch has at most ``most`` units, so a range has at most that many ways to begin, and the driver follows one of them through each range.
     """
     rows = queue.select(F.coalesce(subtree(F.col("source_path"), depth), F.lit("_root")).alias("part"), "id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    xs = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("xs"))
-    zero = F.struct(F.lit(1).alias("batch"), F.lit(0).alias("count"), F.lit(0).alias("size"), F.array().cast("array<struct<batch:int,id:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["count"] > 0) & ((s["count"] >= most) | (s["size"] + x["n"] > chars))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(s["count"] + 1).alias("count"), F.when(full, x["n"]).otherwise(s["size"] + x["n"]).alias("size"), F.concat(s["out"], F.array(F.struct(batch.alias("batch"), x["id"].alias("id")))).alias("out"))
-
-    cut = xs.select("part", F.posexplode(F.aggregate("xs", zero, step, lambda s: s["out"])).alias("ord", "b"))
-    return cut.select("part", F.col("b.batch").alias("batch"), (F.col("ord") + 1).alias("ord"), F.col("b.id").alias("id"))
+    at = sorted_with_local_rows(rows, [F.col("part"), F.col("id")], "queue")
+    kinds = "_part bigint, first string, rows int, same int, head array<bigint>, ends array<array<string>>"
+    found = sorted(at.groupBy("_part").applyInPandas(_summaries(most, chars), kinds).collect(), key=lambda r: r["_part"])
+    state, starts = (None, 0, 0, 0), []
+    for r in found:
+        starts.append((r["_part"], *state))
+        part, batch, count, size = state
+        ends = {int(e[0]): (e[1], int(e[2]), int(e[3]), int(e[4]), e[5] == "True") for e in r["ends"]}
+        if part != r["first"]:
+            p, b, c, z, _ = ends[0]
+            state = (p, b, c, z)
+            continue
+        k = 0
+        while k < len(r["head"]) and not (count and (count >= most or size + r["head"][k] > chars)):
+            count, size, k = count + 1, size + r["head"][k], k + 1
+        if k in ends and k < r["rows"]:
+            p, b, c, z, same = ends[k]
+            opens = batch + 1 if k < r["same"] else 1
+            state = (p, b + (opens - 1 if same and k < r["same"] else 0), c, z)
+        else:
+            state = (part, batch, count, size)
+
+    spark = queue.sparkSession
+    entry = F.broadcast(spark.createDataFrame(starts, "_part bigint, _p string, _b int, _c int, _z bigint"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_row")
+        p, b, c, z = (rows[x].iloc[0] for x in ("_p", "_b", "_c", "_z"))
+        _, batch = _advance((p, int(b), int(c), int(z)), rows["n"].tolist(), rows["part"].tolist(), most, chars)
+        return pd.DataFrame({"part": rows["part"], "id": rows["id"], "batch": batch, "_part": rows["_part"], "_row": rows["_row"]})
+
+    cut = materialize(at.join(entry, "_part").groupBy("_part").applyInPandas(fold, "part string, id string, batch int, _part bigint, _row bigint"), "batches")
+    before = F.broadcast(partition_offsets(at, F.lit(1)))
+    placed = cut.join(before, "_part").withColumn("at", F.col("_before") + F.col("_row"))
+    first = placed.groupBy("part").agg(F.min("at").alias("first"))
+    return skew_join(placed, first, ["part"]).select("part", "batch", (F.col("at") - F.col("first") + 1).cast("int").alias("ord"), "id")
 
 
 def verified_claims(nodes: DataFrame, units: DataFrame) -> DataFrame:

@@ -26,6 +26,14 @@ CONFLICT_RELS = ("contradicts", "supersedes")
 GROUND_RELS = ("documents", "implements", "specifies")
 HUB_DOWN_RELS = ("documents", "defines", "specifies", "implements", "contains")
 HUB_TYPES = ("hub", "overview")
+PROTOCOL_METHODS = (
+    "__call__", "__enter__", "__exit__", "__getattr__", "__getattribute__", "__setattr__", "__delattr__", "__getitem__", "__setitem__", "__delitem__", "__iter__", "__next__", "__new__", "__init_subclass__",
+)
+MARKS = {
+    "stale": "stale: summary may lag — open the source to verify", "disputed": "disputed: an unresolved contradiction — check the conflicting claim", "rejected": "rejected: arbitration found this claim false",
+    "contradicted": "contradicted: source check failed — re-verify before relying", "unverified": "unverified: confirm this code claim against source", "unsure": "low confidence %.2f",
+}
+PACK_TITLES = {"strategic": "## Strategic — overview & subsystems", "tactical": "## Tactical — relevant modules", "operational": "## Operational — code & detail in focus", "periphery": "## Related (follow if needed)"}
 SOURCE_RANKS = {"code": 6, "doc": 5, "data": 5, "user": 5, "chat": 3, "model_inference": 1}
 
 #: What the code falls back on, and what the shipped template sets on top of it.

@@ -67,9 +67,9 @@ def trust_marks(warn: float) -> Column:
     """What a reader should know before relying on a node; empty if nothing."""
     check, code = F.col("verification.status"), F.col("type").isin(*config.CODE_TYPES)
     marks = F.array_compact(F.array(
-        F.when(F.col("status") == "stale", "stale: summary may lag — open the source to verify").when(F.col("status") == "disputed", "disputed: an unresolved contradiction — check the conflicting claim").when(F.col("status") == "rejected", "rejected: arbitration found this claim false"),
-        F.when(check == "contradicted", "contradicted: source check failed — re-verify before relying").when(code & (check.isNull() | (check == "unverified")), "unverified: confirm this code claim against source"),
-        F.when(F.col("confidence") < warn, F.format_string("low confidence %.2f", F.col("confidence"))),
+        F.when(F.col("status").isin("stale", "disputed", "rejected"), F.element_at(F.create_map(*[F.lit(x) for p in config.MARKS.items() for x in p]), F.col("status"))),
+        F.when(check == "contradicted", config.MARKS["contradicted"]).when(code & (check.isNull() | (check == "unverified")), config.MARKS["unverified"]),
+        F.when(F.col("confidence") < warn, F.format_string(config.MARKS["unsure"], F.col("confidence"))),
     ))
     return F.when(F.size(marks) > 0, F.concat(F.lit("  ⟨"), F.array_join(marks, "; "), F.lit("⟩"))).otherwise("")
 
@@ -130,6 +130,19 @@ def pack(active: DataFrame, nodes: DataFrame, settings: dict, compact: bool = Fa
     return kept.unionByName(rest).select("case_id", "tier", "ord", "id", "activation", "cost")
 
 
+def pack_text(packed: DataFrame, nodes: DataFrame, settings: dict, compact: bool = False) -> DataFrame:
+    """(case_id, text): each case's pack as one markdown text, tier by tier. A pack is bounded by its budget, so one row holds it."""
+    info = vertices(nodes, "type", "status", "summary", "body", "source_path", "lineno", "line_end", "confidence", "verification")
+    rows = packed.select("case_id", "tier", "ord", "id").join(info, "id")
+    link = F.concat(F.lit("- "), "id", F.lit(" — "), F.trim(F.coalesce("summary", F.lit(""))))
+    line = F.when(F.col("tier") == "periphery", link).otherwise(rendered(settings["warn_confidence"], compact))
+    place = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(config.PACK_TITLES) for x in (k, i)]), F.col("tier"))
+    title = F.element_at(F.create_map(*[F.lit(x) for p in config.PACK_TITLES.items() for x in p]), F.col("tier"))
+    tiers = rows.groupBy("case_id", place.alias("place"), title.alias("title")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    whole = tiers.groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "title", "lines"))), lambda x: F.concat(x["title"], F.lit("\n"), x["lines"])), "\n\n").alias("text"))
+    return whole.select("case_id", F.concat(F.lit("# Context pack (compact)\n\n" if compact else "# Context pack\n\n"), "text", F.lit("\n")).alias("text"))
+
+
 def inflow(masses: DataFrame, steps: DataFrame, top: DataFrame, damping: float, k: int = 3) -> DataFrame:
     """(case_id, id, rank, source, mass, share): the ``k`` nodes that gave most to each node of ``top`` (case_id, id); ties by id."""
     into = steps.join(top.withColumnRenamed("id", "v"), "v").join(masses.select("case_id", F.col("id").alias("u"), F.col("mass").alias("from_mass")), ["case_id", "u"])
@@ -146,14 +159,16 @@ def retrieve(nodes: DataFrame, queries: DataFrame, settings: dict | None = None,
     """
     settings = settings or config.profile()
     asked = queries.select("case_id", tokens(F.col("query")).alias("tokens"))
-    seeds = blended(bm25(corpus(nodes), asked), semantic, settings["blend"])
+    seeds = materialize(blended(bm25(corpus(nodes), asked), semantic, settings["blend"]), "seeds")
     teleport = seeds.select("case_id", "id", F.col("score").alias("mass"))
     if settings["seed_floor"]:
-        floor = vertices(nodes).crossJoin(F.broadcast(queries.select("case_id").distinct())).select("case_id", "id", F.lit(settings["seed_floor"]).alias("mass"))
+        cases = queries.select("case_id").distinct()
+        floor = vertices(nodes).crossJoin(small_side(cases, "cases")).select("case_id", "id", F.lit(settings["seed_floor"]).alias("mass"))
         teleport = teleport.unionByName(floor)
     if intent == "conflict":
         teleport = with_conflicts(teleport, conflict_nodes(nodes))
-    steps = graph_steps(nodes)
+    arcs = materialize(graph_conductance(nodes), "conductance")
+    steps = materialize(transition(arcs), "steps")
     masses = materialize(personalized_pagerank(teleport, steps, settings["damping"], settings["max_hops"], settings["tolerance"], engine), "masses")
-    active = activations(masses, nodes, lift=intent is not None)
-    return {"seeds": seeds, "masses": masses, "steps": steps, "activations": active, "pack": pack(active, nodes, settings, compact)}
+    active = materialize(activations(masses, nodes, lift=intent is not None), "activations")
+    return {"seeds": seeds, "masses": masses, "conductance": arcs, "steps": steps, "activations": active, "pack": pack(active, nodes, settings, compact)}

@@ -98,9 +98,11 @@ def branch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def branch_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(hub, member): nodes reached from the hub over containing edges, stopping at any other hub."""
-    ids, e, _ = _graph(spark, sf_dir)
+    ids, e, m = _graph(spark, sf_dir)
     hubs = _hubs(spark, sf_dir)
-    steps = resolved(e.where(F.col("rel").isin(*config.HUB_DOWN_RELS)), ids).select("src", "dst")
+    # The export has few such edges: memberships of half a node and more count as what their topic contains.
+    held = m.where("w >= 0.5").select(F.col("topic").alias("src"), F.col("src").alias("dst")).join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    steps = resolved(e.where(F.col("rel").isin(*config.HUB_DOWN_RELS)), ids).select("src", "dst").unionByName(held.select("src", "dst"))
     return reachable(hubs, steps, hubs).select(F.col("root").alias("hub"), F.col("id").alias("member"))
 
 
@@ -165,43 +167,11 @@ def subtree_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("r", rank).groupBy("subtree").agg(F.count(F.lit(1)).alias("nodes"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 8, F.col("id")))), "\n").alias("sample")).where("nodes >= 3")
 
 
-def audit_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many nodes or edges are wrong in each of eight ways."""
-    nodes = table(spark, sf_dir, "nodes")
-    ids, e, m = _graph(spark, sf_dir)
-    one = vertices(nodes, "status", "summary", "source_kind", "source_path", "source_hash", "derived_from_hash", "confidence")
-    said = F.trim(F.coalesce("summary", F.lit("")))
-    named = lambda df, name: df.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("bucket"), "found")
-    parts = [
-        named(nodes.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate_ids"),
-        named(one.where((F.col("status") == "active") & (said == "")), "active_without_summary"),
-        named(one.where("source_kind = 'derived_from_file' and source_path is null"), "file_node_without_path"),
-        named(one.where("source_kind = 'derived_from_file' and status = 'active' and source_hash is not null and derived_from_hash is distinct from source_hash"), "active_but_lagging"),
-        named(e.where("src = dst"), "self_edges"),
-        named(dangling(e, ids), "dangling_edges"),
-        named(m.groupBy("src").agg(F.sum("w").alias("s")).where("round(s, 6) > 1"), "membership_over_one"),
-        named(one.where("confidence < 0 or confidence > 1"), "confidence_out_of_range"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def gaps_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code nodes that nothing documents, by directory."""
-    nodes = table(spark, sf_dir, "nodes")
-    ids, e, _ = _graph(spark, sf_dir)
-    told = resolved(e.where(F.col("rel").isin(*config.GROUND_RELS)), ids).select(F.col("dst").alias("id")).distinct()
-    code = vertices(nodes, "type", "source_path", "source_kind").where(F.col("type").isin(*config.CODE_TYPES) & (F.col("source_kind") == "derived_from_file"))
-    return code.join(told, "id", "left_anti").groupBy(subtree(F.col("source_path"), 1).alias("project")).agg(F.count(F.lit(1)).alias("undocumented"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         edge_resolution, dangling_edges, edge_merge_max_sum, edge_merge_keep, membership_renorm, membership_latest, inbound_redirect, isolated_nodes, components, graph_gate, branch_up, branch_down,
-        branch_budget, degree_centrality, protected_nodes, export_links, export_degree, heaviest_topic, tallies, subtree_hubs, audit_buckets, gaps_report,
+        branch_budget, degree_centrality, protected_nodes, export_links, export_degree, heaviest_topic, tallies, subtree_hubs,
     )
 }
 
@@ -214,7 +184,7 @@ rc as (select id x, id y from vx union select rc.x, ar.y from rc join ar on ar.x
 _ISO = "iso as (select id from vx where id not in (select unnest([src, dst]) from (select src, dst from re union all select src, topic from rm) where src <> dst))"
 _HUB = "hb as (select id from vx where type in ('hub', 'overview'))"
 _UP = "up as (select h.id hub, rm.src member from hb h join rm on rm.topic = h.id union select up.hub, rm.src from up join rm on rm.topic = up.member)"
-_DOWN = """ds as (select src, dst from re where rel in ('documents', 'defines', 'specifies', 'implements', 'contains') and dst not in (select id from hb)),
+_DOWN = """ds as (select src, dst from (select src, dst from re where rel in ('documents', 'defines', 'specifies', 'implements', 'contains') union all select topic, src from rm where w >= 0.5) where dst not in (select id from hb)),
 dn as (select h.id hub, ds.dst member from hb h join ds on ds.src = h.id union select dn.hub, ds.dst from dn join ds on ds.src = dn.member)"""
 _DEG = "dg as (select id, count(x) degree from vx left join (select unnest([src, dst]) x from re) on x = id group by id)"
 _EST = "(case when {0} = '' then 1 when regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g') = {0} then greatest(1, length({0}) // 4) else greatest(1, floor(length(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g')) / 4.0 + (length({0}) - length(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g')) - (length({0}) - length(regexp_replace({0}, '[⺀-鿿぀-ヿ가-힯豈-﫿]', '', 'g')))) / 2.2 + (length({0}) - length(regexp_replace({0}, '[⺀-鿿぀-ヿ가-힯豈-﫿]', '', 'g'))) / 1.5)::bigint) end)"
@@ -247,12 +217,4 @@ select hub, size, tokens, budget, size > budget or tokens > 60000 over_budget fr
     "tallies": f"{_G} select field, value, count(*) nodes from (select 'type' field, coalesce(type, '—') as value from vx union all select 'status', coalesce(status, '—') from vx union all select 'bucket', coalesce(bucket, '—') from vx) group by 1, 2",
     "subtree_hubs": """with v as (select distinct on (id) * from nodes where id is not null), t as (select id, case when source_path like '%/%' then array_to_string(list_slice(string_split(source_path, '/'), 1, least(2, len(string_split(source_path, '/')) - 1)), '/') else '_root' end subtree from v where source_kind = 'derived_from_file' and source_path is not null),
 r as (select *, row_number() over (partition by subtree order by id) r from t) select subtree, count(*) nodes, string_agg(id, chr(10) order by id) filter (r <= 8) sample from r group by 1 having count(*) >= 3""",
-    "audit_buckets": f"""{_G} select 'duplicate_ids' bucket, count(*) found from (select id from nodes where id is not null group by 1 having count(*) > 1)
-union all select 'active_without_summary', count(*) from vx where status = 'active' and trim(coalesce(summary, '')) = ''
-union all select 'file_node_without_path', count(*) from vx where source_kind = 'derived_from_file' and source_path is null
-union all select 'active_but_lagging', count(*) from vx where source_kind = 'derived_from_file' and status = 'active' and source_hash is not null and derived_from_hash is distinct from source_hash
-union all select 'self_edges', count(*) from ed where src = dst union all select 'dangling_edges', count(*) from ed where dst not in (select id from vx)
-union all select 'membership_over_one', count(*) from (select src from mb group by 1 having round(sum(w), 6) > 1) union all select 'confidence_out_of_range', count(*) from vx where confidence < 0 or confidence > 1""",
-    "gaps_report": f"""{_G}, {_RES} select case when source_path like '%/%' then string_split(source_path, '/')[1] else '_root' end project, count(*) undocumented from vx
-where type in ('module', 'class', 'function', 'method', 'file') and source_kind = 'derived_from_file' and id not in (select dst from re where rel in ('documents', 'implements', 'specifies')) group by 1""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memloom.operators.hierarchy import descendants, hierarchy
-from memloom.operators.snapshots import snapshot_changes, unit_states
+from memloom.operators.snapshots import base_state, snapshot_changes, unit_states
 from memloom.session import table
 
 
@@ -24,8 +24,8 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
-    states = unit_states(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "unit_snapshots"))
-    return snapshot_changes(states, "snap_no", "id", fields, "taken_at", lowest_is_base=True)
+    snaps = table(spark, sf_dir, "unit_snapshots")
+    return snapshot_changes(unit_states(table(spark, sf_dir, "nodes"), snaps), "snap_no", "id", fields, "taken_at", base=base_state(snaps))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from memloom.functions.text import slug, tokens
-from memloom.operators import learning as ops
+from memloom.operators import learning as ops, upkeep
 from memloom.operators.graph import degrees, resolved
 from memloom.operators.merging import merged_nodes
-from memloom.operators.similar import cosine_top, lexical_top, shared_tokens, token_near_duplicates
+from memloom.operators.similar import cosine_top, lexical_top, token_near_duplicates
 from memloom.operators.snapshots import edited_files
+from memloom.operators.skew import small_side
 from memloom.plans import config
 from memloom.plans.frames import edges, memberships, vertices
 from memloom.plans.retrieve import corpus, retrieve
 from memloom.queries.graphs import protected_nodes
-from memloom.queries.retrieval import _START, BASE, GRAPH, SEEDS, _active, _asked, _exact, _masses, _packed, _ppr, _seeds, retrieve_pack
+from memloom.queries.reconciling import _D, _F, _U, verify_claims
+from memloom.queries.retrieval import _START, BASE, GRAPH, SEEDS, _active, _asked, _exact, _packed, _ppr, retrieve_pack
 from memloom.session import materialize, table
 
 SETTINGS = config.profile()
@@ -29,12 +31,6 @@ def cosine_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of nodes not derived from a file that share two rare words or more of their summaries, from a similarity of 0.35 on: near texts, not the linker's nominees (``lexical_nominees``)."""
-    rows = vertices(table(spark, sf_dir, "nodes"), "summary", "status", "source_kind").where("source_kind <> 'derived_from_file' and trim(coalesce(summary, '')) <> '' and coalesce(status, 'active') <> 'stale'")
-    return shared_tokens(rows.select("id", tokens(F.col("summary")).alias("tokens"))).where("jaccard >= 0.35").select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
-
-
-def lexical_nominees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The linker without vectors: for every node with a summary that is not stale the five most similar nodes, by the words it is found by, of another bucket or another file, that are neither linked nor judged."""
     nodes = table(spark, sf_dir, "nodes")
     rows = vertices(nodes, "summary", "status", "bucket", "source_path").where("trim(coalesce(summary, '')) <> '' and coalesce(status, 'active') <> 'stale'")
@@ -69,8 +65,13 @@ def link_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which passes of judging are complete: no pair of theirs is without a verdict."""
-    return table(spark, sf_dir, "duplicate_pairs").groupBy("pass_no").agg(F.count(F.lit(1)).alias("pairs"), F.bool_and(F.col("verdict").isNotNull()).alias("complete"), F.count_if(F.col("verdict") == "same").alias("same"))
+    """Which batches of four nodes retire: those of which every node was judged in some pass."""
+    from memloom.operators.ordering import global_positions
+
+    rows = vertices(table(spark, sf_dir, "nodes"), "type").where("type in ('note', 'decision', 'adr')").select("id")
+    batches = global_positions(rows, [F.col("id")]).select("id", F.floor((F.col("_pos") - 1) / 4).cast("int").alias("batch"))
+    judged = table(spark, sf_dir, "duplicate_pairs").where("verdict is not null").select(F.explode(F.array("a", "b")).alias("id")).where("id is not null")
+    return upkeep.retired_batches(batches, judged)
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +85,6 @@ def usage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes by file, of the files that have more than one hash in any snapshots: no pack and no session is read (``used_nodes`` does that)."""
-    nodes, snaps = table(spark, sf_dir, "nodes"), table(spark, sf_dir, "unit_snapshots")
-    edited = snaps.where("id is not null and source_path is not null").groupBy("source_path").agg(F.count_distinct("content_sha").alias("n")).where("n > 1").select("source_path")
-    return vertices(nodes, "source_path", "status").where("source_path is not null").join(edited, "source_path", "left_semi").groupBy("source_path").agg(F.count(F.lit(1)).alias("used"))
-
-
-def used_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each case's pack the nodes whose file was edited in the newest snapshot step."""
     own = vertices(table(spark, sf_dir, "nodes"), "source_path").join(edited_files(table(spark, sf_dir, "unit_snapshots")), "source_path", "left_semi")
     return retrieve_pack(spark, sf_dir).select("case_id", "id").join(own, "id").select("case_id", "id", "source_path")
@@ -135,19 +129,29 @@ def digest_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rank", rank).where("(kind = 'decision' and rank <= 6) or (kind = 'question' and rank <= 4)").select("kind", "rank", "id", "salience")
 
 
+def _disputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the graph, and pairs judged different as the conflict edges that consolidation writes for them."""
+    pairs = table(spark, sf_dir, "duplicate_pairs").where("verdict = 'different' and a is not null and b is not null").distinct()
+    rel = F.when(F.length("a") % 2 == 0, "contradicts").otherwise("supersedes")
+    made = pairs.select(F.col("a").alias("src"), F.lit(1000).alias("pos"), rel.alias("rel"), F.col("b").alias("dst")).distinct()
+    return edges(table(spark, sf_dir, "nodes")).select("src", "pos", "rel", "dst").unionByName(made)
+
+
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs judged different that are linked to each other, with what each side weighs."""
+    """Nodes linked by a conflict edge, with what each side weighs."""
     nodes = table(spark, sf_dir, "nodes")
-    pairs = table(spark, sf_dir, "duplicate_pairs").where("verdict = 'different' and a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    info = vertices(nodes, "type", "status", "confidence", "updated", "provenance").select("id", ops.source_rank(F.col("type"), F.col("provenance.kind")).alias("rank"), "confidence", F.coalesce("status", F.lit("active")).alias("status"))
+    pairs = upkeep.contradiction_pairs(_disputed(spark, sf_dir), vertices(nodes))
+    info = vertices(nodes, "type", "status", "confidence", "updated", "provenance", "verification")
+    info = info.select("id", ops.source_rank(F.col("type"), F.col("provenance.kind")).alias("rank"), "confidence", F.coalesce("status", F.lit("active")).alias("status"), "updated", F.col("verification.status").alias("verified"))
     for end in ("a", "b"):
-        pairs = pairs.join(info.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("rank", "confidence", "status")]), end)
-    return pairs.select("a", "b", "rank_a", "rank_b", "confidence_a", "confidence_b", "status_a", "status_b")
+        pairs = pairs.join(info.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("rank", "confidence", "status", "updated", "verified")]), end)
+    return pairs
 
 
 def source_contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that lost to their live source."""
-    rows = vertices(table(spark, sf_dir, "nodes"), "type", "summary", "verification", "provenance").where("verification.status = 'contradicted'")
+    """Nodes that lost to their live source: those that verification finds contradicted, or found so before."""
+    lost = verify_claims(spark, sf_dir).where("verdict = 'contradicted'").select("id")
+    rows = vertices(table(spark, sf_dir, "nodes"), "type", "summary", "verification", "provenance").join(lost.withColumn("lost", F.lit(True)), "id", "left").where("lost or verification.status = 'contradicted'")
     return rows.select("id", ops.source_rank(F.col("type"), F.col("provenance.kind")).alias("rank"), F.substring(F.trim(F.regexp_replace(F.coalesce("summary", F.lit("")), r"\s+", " ")), 1, 200).alias("summary"))
 
 
@@ -165,38 +169,40 @@ def apply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def note_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The content-addressed id that capturing each authored node again would give; equal notes get one."""
-    rows = vertices(table(spark, sf_dir, "nodes"), "type", "summary", "body", "tags", "source_kind").where("source_kind = 'authored' and summary is not null")
-    key = F.concat_ws("\x1f", "type", F.trim("summary"), F.trim(F.coalesce("body", F.lit(""))), F.array_join(F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))), ","))
-    return rows.select("id", F.concat(F.lit("note:"), F.substring(F.sha2(key, 256), 1, 8)).alias("note_id"))
+    """The authored nodes captured again: equal notes become one, with the tags of all."""
+    rows = vertices(table(spark, sf_dir, "nodes"), "type", "summary", "body", "tags", "source_kind").where("source_kind = 'authored'")
+    return upkeep.captured(rows).withColumn("tags", F.array_join("tags", ","))
 
 
 def schema_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes brought to the present schema: known types and statuses, every verification and confidence stated, languages spelled one way."""
-    rows = vertices(table(spark, sf_dir, "nodes"), "type", "status", "confidence", "verification", "lang")
-    return rows.select(
-        "id", F.lower(F.trim("type")).alias("type"), F.coalesce("status", F.lit("active")).alias("status"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.7)))).alias("confidence"),
-        F.coalesce("verification.status", F.lit("unverified")).alias("verified"), F.lower(F.regexp_extract(F.trim("lang"), r"^[A-Za-z]+", 0)).alias("lang"),
-    )
+    """The nodes as an older schema had them (derived hubs, names of grammar rules, no origins, trust fields missing), migrated."""
+    one = vertices(table(spark, sf_dir, "nodes"), "type", "source_kind", "edges", "provenance", "verification")
+    kinds = F.when(F.col("type").isin(*config.HUB_TYPES), "derived").when(F.col("type") == "function", "method_declaration").when(F.col("type") == "class", "impl_item").otherwise(F.col("type"))
+    old = one.withColumn("type", kinds).withColumn("source_kind", F.when(F.col("source_kind") == "synthesized", "derived").otherwise(F.col("source_kind")))
+    old = old.withColumn("edges", F.transform("edges", lambda e: F.when(e.isNotNull(), e.withField("origin", F.lit(None).cast("string")))))
+    old = old.withColumn("provenance", F.when(F.length("id") % 3 != 0, F.col("provenance"))).withColumn("verification", F.when(F.length("id") % 2 != 0, F.col("verification")))
+    new = upkeep.migrated(old)
+    return new.select("id", "type", "source_kind", F.array_join(F.transform("edges", lambda e: e["origin"]), ",").alias("origins"), F.col("provenance.kind").alias("provenance"), F.col("verification.status").alias("verified"))
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gold(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     """Each case's best seed and the nodes linked to it."""
-    from memloom.plans.retrieve import graph_conductance
-
-    best = _seeds(spark, sf_dir).groupBy("case_id").agg(F.max_by("id", F.struct(F.round("score", 9), "id")).alias("id"))
-    near = graph_conductance(table(spark, sf_dir, "nodes")).join(F.broadcast(best.withColumnRenamed("id", "u")), "u").select("case_id", F.col("v").alias("id"))
+    best = small_side(seeds.groupBy("case_id").agg(F.max_by("id", F.struct(F.round("score", 9), "id")).alias("id")), "best")
+    near = arcs.join(best.select("case_id", F.col("id").alias("u")), "u").select("case_id", F.col("v").alias("id"))
     return best.unionByName(near).distinct()
 
 
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per case, with K the number of gold nodes: recall at K by activation and by words alone, recall of the pack, and recall of the gold that words alone miss."""
-    gold = materialize(_gold(spark, sf_dir), "gold")
+    # One retrieval gives seeds, masses and pack.
+    found = retrieve(table(spark, sf_dir, "nodes"), _asked(spark), _exact())
+    seeds = found["seeds"]
+    gold = materialize(_gold(seeds, found["conductance"]), "gold")
     k = gold.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
     ranked = lambda df, c: df.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round(c, 9)), "id"))).select("case_id", "id", "r")
-    by_mass, by_words = ranked(_masses(spark, sf_dir), "mass"), ranked(_seeds(spark, sf_dir), "score")
+    by_mass, by_words = ranked(found["masses"], "mass"), ranked(seeds, "score")
     rows = gold.join(k, "case_id").join(by_mass.withColumnRenamed("r", "rm"), ["case_id", "id"], "left").join(by_words.withColumnRenamed("r", "rw"), ["case_id", "id"], "left")
-    rows = rows.join(retrieve_pack(spark, sf_dir).select("case_id", "id", F.lit(True).alias("packed")), ["case_id", "id"], "left")
+    rows = rows.join(found["pack"].select("case_id", "id", F.lit(True).alias("packed")), ["case_id", "id"], "left")
     top, known = F.coalesce(F.col("rm") <= F.col("k"), F.lit(False)), F.coalesce(F.col("rw") <= F.col("k"), F.lit(False))
     share = lambda c: F.round(F.count_if(c) / F.first("k"), 6)
     return rows.groupBy("case_id").agg(
@@ -211,24 +217,20 @@ def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the nodes that others exemplify: how many instances, how many of them rest on words in common with it, and whether most of them are out of date."""
+    """Of the nodes that others exemplify: how many of the links a review does not confirm (here those from ids of a length that four divides), and whether most instances are out of date."""
     nodes = table(spark, sf_dir, "nodes")
-    own = vertices(nodes, "status", "summary").select("id", "status", F.array_distinct(tokens(F.col("summary"))).alias("ws"))
-    ex = resolved(edges(nodes).where("rel = 'exemplifies'"), vertices(nodes)).select("src", "dst").distinct()
-    ex = ex.join(own.select(F.col("id").alias("src"), "status", F.col("ws").alias("ws_i")), "src").join(own.select(F.col("id").alias("dst"), F.col("ws").alias("ws_p")), "dst")
-    far = F.size(F.array_intersect("ws_i", "ws_p")) == 0
-    return ex.groupBy(F.col("dst").alias("pattern_id")).agg(F.count(F.lit(1)).alias("instances"), F.round(F.count_if(far) / F.count(F.lit(1)), 6).alias("unlike_rate"), (F.count_if(F.coalesce("status", F.lit("active")) != "active") * 2 > F.count(F.lit(1))).alias("stale"))
+    e = edges(nodes)
+    return upkeep.pattern_links(e, vertices(nodes, "status"), e.where("rel = 'exemplifies' and length(src) % 4 <> 0"))
 
 
-def gate_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What merging confirmed duplicates does to the degree of nodes: unchanged, gained or lost. The gate itself is ``eval_gate``."""
+def transfer_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per confirmed instance: how much of its pattern and the pattern's other instances the pack of its own summary holds."""
     nodes = table(spark, sf_dir, "nodes")
-    ids, e = vertices(nodes), edges(nodes)
-    left = merge_actions(spark, sf_dir)
-    moved = e.join(left.select(F.col("drop_id").alias("dst"), "survivor"), "dst", "left").select("src", F.coalesce("survivor", "dst").alias("dst"))
-    before, after = degrees(e, ids), degrees(moved, ids).withColumnRenamed("degree", "after")
-    change = F.when(F.col("after") > F.col("degree"), "gained").when(F.col("after") < F.col("degree"), "lost").otherwise("unchanged")
-    return before.join(after, "id").groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("nodes"))
+    right = materialize(resolved(edges(nodes).where("rel = 'exemplifies' and length(src) % 4 <> 0"), vertices(nodes)).select("src", "dst").distinct(), "confirmed")
+    gold = right.select(F.col("src").alias("case_id"), F.col("dst").alias("id")).unionByName(right.alias("x").join(right.select(F.col("src").alias("id"), "dst"), "dst").where("id <> src").select(F.col("src").alias("case_id"), "id")).distinct()
+    asked = vertices(nodes, "summary").join(right.select(F.col("src").alias("id")).distinct(), "id").select(F.col("id").alias("case_id"), F.coalesce(F.nullif(F.trim("summary"), F.lit("")), "id").alias("query"))
+    packed = retrieve(nodes, asked, _exact())["pack"].select("case_id", "id", F.lit(True).alias("p"))
+    return gold.join(packed, ["case_id", "id"], "left").groupBy("case_id").agg(F.count(F.lit(1)).alias("gold"), F.round(F.count("p") / F.count(F.lit(1)), 3).alias("recall"))
 
 
 def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,12 +242,14 @@ def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         merges = merges.join(ids.withColumnRenamed("id", end), end, "left_semi")
     moves = materialize(ops.survivors(merges, protected_nodes(spark, sf_dir)).select(F.col("drop_id").alias("old"), F.col("survivor").alias("new")), "moves")
     after = materialize(merged_nodes(nodes, moves), "merged")
-    gold = materialize(_gold(spark, sf_dir), "gold")
-    words = _seeds(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "id")))
+    before = retrieve(nodes, _asked(spark), _exact())
+    seeds = before["seeds"]
+    gold = materialize(_gold(seeds, before["conductance"]), "gold")
+    words = seeds.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "id")))
     k = gold.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
     frozen = gold.join(k, "case_id").join(words.select("case_id", "id", "r"), ["case_id", "id"], "left").select("case_id", "id", (~F.coalesce(F.col("r") <= F.col("k"), F.lit(False))).alias("hop"))
     packed = retrieve(after, _asked(spark), _exact())["pack"]
-    out = ops.gate(frozen, retrieve_pack(spark, sf_dir), packed, SETTINGS["eval_drop"])
+    out = ops.gate(frozen, before["pack"], packed, SETTINGS["eval_drop"])
     return out.select("case_id", "k", "hop_gold", *[F.round(c, 6).alias(c) for c in ("recall_before", "recall_after", "hop_recall_before", "hop_recall_after")], "lost", "recall_delta", "hop_recall_delta", "status")
 
 
@@ -258,8 +262,8 @@ def membership_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_candidates, lexical_candidates, lexical_nominees, near_duplicates, link_pairs, link_batches, judged_batches, usage_pairs, usage_attribution, used_nodes, coactivation_counts, fold_weights, salience_rank, digest_top, contradictions, source_contradicted,
-        merge_actions, apply_items, note_ids, schema_migration, eval_recall, eval_means, pattern_metrics, gate_deltas, eval_gate, membership_slugs,
+        cosine_candidates, lexical_candidates, near_duplicates, link_pairs, link_batches, judged_batches, usage_pairs, usage_attribution, coactivation_counts, fold_weights, salience_rank, digest_top, contradictions, source_contradicted,
+        merge_actions, apply_items, note_ids, schema_migration, eval_recall, eval_means, pattern_metrics, transfer_recall, eval_gate, membership_slugs,
     )
 }
 
@@ -293,14 +297,13 @@ er as (select case_id, any_value(k) k, round(count(*) filter (top) / any_value(k
  round(count(*) filter (top and not known) / nullif(count(*) filter (not known), 0), 6) hop_recall from ev group by 1)"""
 )
 
+_NSLUG = r"regexp_replace(substr(regexp_replace(regexp_replace(lower(trim({0})), '[^\p{{L}}\p{{N}}_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '^-+|-+$', '', 'g')"
+_DIS = """dd as (select src, pos, rel, dst from ed union all select distinct a, 1000, case when length(a) % 2 = 0 then 'contradicts' else 'supersedes' end, b from duplicate_pairs where verdict = 'different' and a is not null and b is not null)"""
+
 SQL = {
     "cosine_candidates": """with u as (select vec_id id, embedding::double[] v from embeddings), p as (select a.id, b.id other, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) sim from u a join u b on a.id <> b.id),
 r as (select *, row_number() over (partition by id order by sim desc, other desc) rank from p where sim >= 0.35) select id, other, cast(rank as integer) rank, round(sim, 6) sim from r where rank <= 5""",
-    "lexical_candidates": f"""{_G}, d as (select id, {_TOK.format("coalesce(summary, '')")} ws from vx where source_kind <> 'derived_from_file' and trim(coalesce(summary, '')) <> '' and coalesce(status, 'active') <> 'stale'),
-t as (select id, w from (select id, unnest(ws) w from d) where length(w) >= 3), sz as (select id, count(*) n from t group by 1), ok as (select w from t group by 1 having count(*) <= greatest(4, (select count(*) from d) // 4)),
-p as (select x.id a, y.id b, count(*) shared from t x join t y on x.w = y.w and x.id < y.id where x.w in (from ok) group by 1, 2 having count(*) >= 2)
-select a, b, shared, round(shared / (s.n + u.n - shared), 6) jaccard from p join sz s on s.id = a join sz u on u.id = b where shared / (s.n + u.n - shared) >= 0.35""",
-    "lexical_nominees": rf"""{_G},{SEEDS}, lp as (select distinct least(x, y) a, greatest(x, y) b from (select src x, dst y from ed union all select a, b from duplicate_pairs where verdict is not null) where x is not null and y is not null and x <> y),
+    "lexical_candidates": rf"""{_G},{SEEDS}, lp as (select distinct least(x, y) a, greatest(x, y) b from (select src x, dst y from ed union all select a, b from duplicate_pairs where verdict is not null) where x is not null and y is not null and x <> y),
 d as (select id, list_distinct(ws) ws, coalesce(bucket, '?') g, coalesce(source_path, '') f from tx join vx using (id) where trim(coalesce(summary, '')) <> '' and coalesce(status, 'active') <> 'stale'),
 t as (select id, w from (select id, unnest(ws) w from d) where length(w) >= 3), ok as (select w from t group by 1 having count(*) <= greatest(4, (select count(*) from d) // 4)),
 p as (select x.id a, y.id b, count(*) shared from t x join t y on x.w = y.w and x.id < y.id where x.w in (from ok) group by 1, 2 having count(*) >= 2),
@@ -311,11 +314,11 @@ p as (select x.id a, y.id b, count(*) i from t x join t y on x.w = y.w and x.id
 select a, b, round(i / (len(x.ws) + len(y.ws) - i), 6) sim from p join d x on x.id = a join d y on y.id = b where i / (len(x.ws) + len(y.ws) - i) >= 0.82""",
     "link_pairs": f"{_G} select distinct least(x, y) a, greatest(x, y) b from (select src x, dst y from ed union all select a, b from duplicate_pairs where verdict is not null) where x is not null and y is not null and x <> y",
     "link_batches": f"{_G} select id, cast((row_number() over (order by id) - 1) // 80 as integer) batch from vx where trim(coalesce(summary, '')) <> '' and coalesce(status, 'active') <> 'stale'",
-    "judged_batches": "select pass_no, count(*) pairs, bool_and(verdict is not null) complete, count(*) filter (verdict = 'same') same from duplicate_pairs group by 1",
+    "judged_batches": f"""{_G}, b as (select id, (row_number() over (order by id) - 1) // 4 batch from vx where type in ('note', 'decision', 'adr')), j as (select distinct unnest([a, b]) id from duplicate_pairs where verdict is not null)
+select cast(batch as integer) batch, count(*) nodes, count(j.id) judged, count(*) = count(j.id) retired from b left join j using (id) group by 1""",
     "usage_pairs": """with s as (select distinct concat_ws('/', user_id, ts::date) session, case event_type when 'purchase' then 'accepted' when 'error' then 'reverted' end outcome, cast(props->>'$.k' as integer) item from events)
 select distinct x.outcome, x.item a, y.item b from s x join s y on x.session = y.session and x.outcome = y.outcome and x.item < y.item""",
-    "usage_attribution": f"{_G}, e as (select source_path from unit_snapshots where id is not null and source_path is not null group by 1 having count(distinct content_sha) > 1) select source_path, count(*) used from vx where source_path in (from e) group by 1",
-    "used_nodes": BASE
+    "usage_attribution": BASE
     + _ppr(_START)
     + _active()
     + _packed()
@@ -333,20 +336,26 @@ f as (select src, rel, dst, coact, round(greatest(0, least(1, case when n is not
     "salience_rank": f"{_G}, {_RES}, {_DEG}, {_SAL} select id, type, salience from va where {_EPI} order by salience, id limit 50",
     "digest_top": f"""{_G}, {_RES}, {_DEG}, {_SAL}, k as (select *, case when type in ('decision', 'adr') then 'decision' when type = 'open_question' then 'question' end kind from va where coalesce(status, 'active') in ('active', 'captured')),
 r as (select *, row_number() over (partition by kind order by salience desc, id) rank from k where kind is not null) select kind, cast(rank as integer) rank, id, salience from r where rank <= case kind when 'decision' then 6 else 4 end""",
-    "contradictions": f"""{_G}, p as (select distinct least(a, b) a, greatest(a, b) b from duplicate_pairs where verdict = 'different' and a is not null and b is not null and a <> b), i as (select id, {_RANK} as rank, confidence, coalesce(status, 'active') status from vx)
-select a, b, x.rank rank_a, y.rank rank_b, x.confidence confidence_a, y.confidence confidence_b, x.status status_a, y.status status_b from p join i x on x.id = a join i y on y.id = b""",
-    "source_contradicted": rf"{_G} select id, {_RANK} as rank, substr(trim(regexp_replace(coalesce(summary, ''), '\s+', ' ', 'g')), 1, 200) summary from vx where verification.status = 'contradicted'",
+    "contradictions": f"""{_G}, {_DIS}, p as (select least(src, dst) a, greatest(src, dst) b, arg_min(rel, row(src, pos, rel)) rel from dd where rel in ('contradicts', 'supersedes') and src <> dst and dst in (select id from vx) group by 1, 2),
+i as (select id, {_RANK} as rank, confidence, coalesce(status, 'active') status, updated, verification.status verified from vx)
+select a, b, rel, x.rank rank_a, y.rank rank_b, x.confidence confidence_a, y.confidence confidence_b, x.status status_a, y.status status_b, x.updated updated_a, y.updated updated_b, x.verified verified_a, y.verified verified_b from p join i x on x.id = a join i y on y.id = b""",
+    "source_contradicted": rf"""{_G}, {_U}, {_F}, ct as (select fn.id from fn left join un on un.id = fn.id where fn.source_path not in (select source_path from un where source_path is not null) or fn.source_path is null or un.id is null)
+select id, {_RANK} as rank, substr(trim(regexp_replace(coalesce(summary, ''), '\s+', ' ', 'g')), 1, 200) summary from vx where verification.status = 'contradicted' or id in (from ct)""",
     "merge_actions": f"{_G}, {_RES}, {_DEG}, {_PROT}, {_SURV} select drop_id, survivor from sv",
     "apply_items": rf"""{_G}, it as (select distinct extracted_at seq, id, case when kind = 'section' then kind end as type, regexp_extract(text, '[^\s][^\r\n]*', 0) summary, content_sha from units where text is not null and id is not null),
 o as (select it.*, vx.summary old, vx.confidence sure, case when vx.id is null then case when it.type is not null then 'created' else 'skipped_missing' end when it.content_sha is not null and it.content_sha is distinct from vx.source_hash then 'skipped_stale' else 'updated' end outcome from it left join vx using (id))
 select id, outcome, count(*) items, coalesce(arg_max(summary, row(seq, summary)) filter (outcome not like 'skipped%'), max(old)) summary, greatest(0, least(1, coalesce(max(sure), 0.7))) confidence from o group by 1, 2""",
-    "note_ids": f"{_G} select id, 'note:' || substr(sha256(concat_ws(chr(31), type, trim(summary), trim(coalesce(body, '')), array_to_string(list_sort(coalesce(tags, [])), ','))), 1, 8) note_id from vx where source_kind = 'authored' and summary is not null",
-    "schema_migration": f"{_G} select id, lower(trim(type)) as type, coalesce(status, 'active') status, greatest(0, least(1, coalesce(confidence, 0.7))) confidence, coalesce(verification.status, 'unverified') verified, case when lang is not null then lower(regexp_extract(trim(lang), '^[A-Za-z]+', 0)) end lang from vx",
+    "note_ids": rf"""{_G}, n as (select id, type, summary, coalesce(body, '') body, list_filter(coalesce(tags, []), lambda x: x is not null) tags from vx where source_kind = 'authored' and trim(coalesce(summary, '')) <> ''),
+k as (select *, 'note:' || coalesce(nullif({_NSLUG.format("summary")}, ''), nullif({_NSLUG.format("tags[1]")}, ''), 'note') || '-' || substr(sha256(coalesce(type, '') || chr(10) || summary || chr(10) || body || chr(10) || array_to_string(list_sort(tags), ',')), 1, 8) note_id from n),
+g as (select note_id, min(id) id, arg_min(summary, id) summary, arg_min(type, id) ty, coalesce(array_to_string(list_sort(list_distinct(flatten(list(tags)))), ','), '') tags, count(*) notes from k group by 1)
+select note_id, id, summary, tags, case when ty in ('decision', 'adr') then 'user' else 'model_inference' end kind, case when ty in ('decision', 'adr') then 'verified' else 'unverified' end verified, notes from g""",
+    "schema_migration": rf"""{_G} select id, case when type in ('hub', 'overview') then case when contains(lower(regexp_replace(id, '^[^:]*:', '')), 'overview') then 'overview' else 'hub' end else type end as type, source_kind,
+array_to_string(list_transform(edges, lambda e: case when e is null then null when coalesce(e.rel in ('imports', 'calls'), false) then 'structural' when coalesce(source_kind, '') = 'synthesized' then 'synthesized' else 'semantic' end), ',') origins,
+coalesce(case when length(id) % 3 <> 0 and provenance is not null then provenance.kind end, case when length(id) % 3 <> 0 and provenance is not null then null when source_kind = 'authored' then case when lower(type) in ('decision', 'adr') then 'user' else 'model_inference' end when source_kind = 'synthesized' then 'model_inference'
+ else case when split_part(id, ':', 1) in ('code', 'doc', 'data') then split_part(id, ':', 1) else 'doc' end end) provenance, case when length(id) % 2 <> 0 and verification is not null then verification.status else 'unverified' end verified from vx""",
     "eval_recall": _EVAL + " select case_id, k, recall, word_recall, pack_recall, hop_recall from er",
     "eval_means": _EVAL + " select round(avg(recall), 6) recall, round(avg(word_recall), 6) word_recall, round(avg(pack_recall), 6) pack_recall, round(avg(hop_recall), 6) hop_recall, count(*) cases from er",
-    "pattern_metrics": f"""{_G}, {_RES}, o as (select id, status, {_TOK.format("coalesce(summary, '')")} ws from vx), e as (select distinct src, dst from re where rel = 'exemplifies')
-select dst pattern_id, count(*) instances, round(count(*) filter (len(list_intersect(i.ws, p.ws)) = 0) / count(*), 6) unlike_rate, count(*) filter (coalesce(i.status, 'active') <> 'active') * 2 > count(*) stale from e join o i on i.id = src join o p on p.id = dst group by 1""",
-    "gate_deltas": f"""{_G}, {_RES}, {_DEG}, {_PROT}, {_SURV}, mv as (select src, coalesce(survivor, dst) dst from ed left join sv on drop_id = dst), rr as (select * from mv where dst in (select id from vx)),
-da as (select id, count(x) after_ from vx left join (select unnest([src, dst]) x from rr) on x = id group by id) select case when after_ > degree then 'gained' when after_ < degree then 'lost' else 'unchanged' end change, count(*) nodes from dg join da using (id) group by 1""",
+    "pattern_metrics": f"""{_G}, {_RES}, e as (select distinct src, dst from re where rel = 'exemplifies')
+select dst pattern_id, count(*) instances, count(*) filter (length(src) % 4 = 0) false_links, round(count(*) filter (length(src) % 4 = 0) / count(*), 3) false_analogy_rate, count(*) filter (coalesce(status, 'active') <> 'active') * 2 > count(*) stale from e join vx on id = src group by 1""",
     "membership_slugs": rf"{_G} select topic, substr(regexp_replace(regexp_replace(regexp_replace(lower(trim(translate(topic, '/:', '  '))), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) || '-' || substr(sha256(topic), 1, 8) file from (select distinct topic from mb)",
 }

@@ -212,9 +212,9 @@ def _packed(compact: bool = False, factor: float = 1.0) -> str:
     rooms = {k: max(1, int(v * factor)) for k, v in config.PROFILES["defaults"]["budget"].items() if k != "periphery"}
     return rf""",
 nf as (select *, trim(coalesce(summary, '')) said, trim(coalesce(body, '')) txt, coalesce(case type {tiers} end, 'operational') tier, array_to_string(list_filter([
-   case status when 'stale' then 'stale: summary may lag — open the source to verify' when 'disputed' then 'disputed: an unresolved contradiction — check the conflicting claim' when 'rejected' then 'rejected: arbitration found this claim false' end,
-   case when verification.status = 'contradicted' then 'contradicted: source check failed — re-verify before relying' when type in ('module', 'class', 'function', 'method', 'file') and coalesce(verification.status, 'unverified') = 'unverified' then 'unverified: confirm this code claim against source' end,
-   case when confidence < 0.5 then printf('low confidence %.2f', confidence) end], lambda x: x is not null), '; ') marks from vx),
+   case status when 'stale' then '{config.MARKS["stale"]}' when 'disputed' then '{config.MARKS["disputed"]}' when 'rejected' then '{config.MARKS["rejected"]}' end,
+   case when verification.status = 'contradicted' then '{config.MARKS["contradicted"]}' when type in ('module', 'class', 'function', 'method', 'file') and coalesce(verification.status, 'unverified') = 'unverified' then '{config.MARKS["unverified"]}' end,
+   case when confidence < 0.5 then printf('{config.MARKS["unsure"]}', confidence) end], lambda x: x is not null), '; ') marks from vx),
 ln as (select *, case when marks <> '' then '  ⟨' || marks || '⟩' else '' end mark from nf),
 rd as (select id, tier, case when tier = 'operational' and type in ('module', 'class', 'function', 'method', 'file') then {pointer} {short}
    when tier = 'operational' or type in ('decision', 'adr') then '### ' || id || mark || chr(10) || said || case when txt <> '' then chr(10) || chr(10) || txt else '' end

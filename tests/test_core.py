@@ -10,7 +10,7 @@ from memloom.operators.bm25 import bm25, normalised
 from memloom.operators.graph import degrees, isolated, min_labels, reachable
 from memloom.operators.ordering import global_positions
 from memloom.operators.pagerank import personalized_pagerank, transition
-from memloom.operators.similar import cosine_top, lexical_top, shared_tokens, token_near_duplicates
+from memloom.operators.similar import cosine_top, lexical_top, token_near_duplicates
 from memloom.operators.skew import hot_keys, self_pairs, skew_join
 from memloom.operators.units import longest_module, module_names, paired_moves, queue_batches, repaired_targets
 from memloom.plans import config
@@ -84,11 +84,15 @@ def test_pagerank_engines_agree(spark):
 def test_graph_operators(spark):
     ids = spark.createDataFrame([(x,) for x in "abcdefgh"], "id string")
     pairs = spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d"), ("f", "f"), ("g", "zz"), ("a", None)], "x string, y string")
-    assert {r["id"]: r["component"] for r in min_labels(pairs, ids).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f", "g": "g", "h": "h"}
+    assert min_labels(pairs.where("false"), ids).where("id <> component").isEmpty()
+    for arcs in (2_000_000, 0):
+        assert {r["id"]: r["component"] for r in min_labels(pairs, ids, arcs).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f", "g": "g", "h": "h"}
     steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "src string, dst string")
-    assert {tuple(r) for r in reachable(ids, steps).collect()} == {(s, x) for s in "abc" for x in "abcde" if s != x} | {("d", "e")}
     stop = spark.createDataFrame([("d",)], "id string")
-    assert {tuple(r) for r in reachable(spark.createDataFrame([("a",)], "id string"), steps, stop).collect()} == {("a", "b"), ("a", "c")}
+    for arcs in (2_000_000, 0):
+        assert {tuple(r) for r in reachable(ids, steps, kernel_arcs=arcs).collect()} == {(s, x) for s in "abc" for x in "abcde" if s != x} | {("d", "e")}
+        assert {tuple(r) for r in reachable(spark.createDataFrame([("a",)], "id string"), steps, stop, arcs).collect()} == {("a", "b"), ("a", "c")}
+    assert reachable(ids, steps.where("false")).isEmpty() and reachable(ids.where("false"), steps).isEmpty()
     e = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "c"), ("a", "gone")], "src string, dst string")
     assert {r["id"]: r["degree"] for r in degrees(e, ids).collect() if r["degree"]} == {"a": 2, "b": 2, "c": 2}
     m = spark.createDataFrame([("d", "e", 1.0), ("h", "dir", 1.0)], "src string, topic string, w double")
@@ -135,7 +139,6 @@ def test_similarity_against_brute_force(spark):
     df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()] + [(None, ["word1"])], "id int, tokens array<string>")
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
     assert {(x["a"], x["b"]) for x in token_near_duplicates(df, 0.5).collect()} == want
-    assert all(x["shared"] >= 2 for x in shared_tokens(df).collect())
     vecs = {i: [r.uniform(-1, 1) for _ in range(6)] for i in range(50)}
     v = spark.createDataFrame([*vecs.items(), (99, None), (98, [0.0] * 6), (None, [1.0] * 6)], "id int, v array<double>")
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5

@@ -16,6 +16,10 @@ def test_changes(spark):
     assert {(r["id"], r["change"]) for r in first} == {(x, "added") for x in "abcd"}
     assert snapshot_changes(df.where("false"), "snap", "id", ["sha"], "at", True).count() == 0
     assert snapshot_changes(df.where("snap = 1"), "snap", "id", ["sha"], "at", True).count() == 0
+    # A base without rows is an empty state, not the first snapshot.
+    alone = snapshot_changes(df.where("snap = 1"), "snap", "id", ["sha"], "at", base=0).collect()
+    assert {(r["snap"], r["id"], r["change"]) for r in alone} == {(1, x, "added") for x in "abcd"}
+    assert snapshot_changes(df, "snap", "id", ["sha"], "at", base=1).where("snap = 1").count() == 0
 
 
 def test_normal_hash(spark):
@@ -37,8 +41,8 @@ def test_edited_files_are_those_of_the_newest_step(spark):
 
 
 def test_used_nodes_are_packed_ones(spark):
-    from memloom.queries.learning import used_nodes
+    from memloom.queries.learning import usage_attribution
     from memloom.queries.retrieval import retrieve_pack
 
-    used = {(r["case_id"], r["id"]) for r in used_nodes(spark, "/root/testdata/sf0.01").collect()}
+    used = {(r["case_id"], r["id"]) for r in usage_attribution(spark, "/root/testdata/sf0.01").collect()}
     assert used and used < {(r["case_id"], r["id"]) for r in retrieve_pack(spark, "/root/testdata/sf0.01").collect()}
