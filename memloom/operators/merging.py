@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from memloom.operators.skew import skew_join
+
 
 def strongest_edges(edges: DataFrame) -> DataFrame:
     """(src, rel, dst, w, coact): one edge for each (src, rel, dst), the greatest weight and the sum of coact; self edges are dropped, nulls count as 0."""
@@ -32,7 +34,7 @@ def latest_memberships(memberships: DataFrame, order: str) -> DataFrame:
 
 def redirected(edges: DataFrame, moves: DataFrame) -> DataFrame:
     """Edges with targets replaced by ``moves`` (old, new), then merged as ``strongest_edges`` does."""
-    to = edges.join(moves.select(F.col("old").alias("dst"), "new"), "dst", "left")
+    to = skew_join(edges, moves.select(F.col("old").alias("dst"), "new"), ["dst"], "left")
     return strongest_edges(to.select("src", "rel", F.coalesce("new", "dst").alias("dst"), "w", "coact"))
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memloom.functions.text import subtree
-from memloom.operators.ordering import partition_offsets, sorted_with_local_rows
+from memloom.operators.ordering import global_positions, partition_offsets, sorted_with_local_rows
 from memloom.operators.skew import skew_join
 from memloom.session import materialize
 
@@ -37,11 +37,17 @@ def diff_classes(units: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def paired_moves(gone: DataFrame, come: DataFrame) -> DataFrame:
-    """(old_id, new_id): the k-th vanished with the k-th new id of equal content hash, both in the order of ids. Null hashes pair nothing."""
-    rank = F.row_number().over(Window.partitionBy("sha").orderBy("id"))
-    a = gone.where("sha is not null").select("sha", F.col("id").alias("old_id"), rank.alias("k"))
-    b = come.where("sha is not null").select("sha", F.col("id").alias("new_id"), rank.alias("k"))
-    return a.join(b, ["sha", "k"]).select("old_id", "new_id")
+    """(old_id, new_id): the k-th vanished with the k-th new id of equal content hash, both in the order of ids. Null hashes pair nothing.
+
+    Numbered by a range-partitioned sort: the files of one text, a licence say, may be many.
+    """
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        at = global_positions(rows.where("sha is not null and id is not null").select("sha", F.col("id").alias(name)), [F.col("sha"), F.col(name)], "at", "moves")
+        at = materialize(at, "numbered")
+        return skew_join(at, at.groupBy("sha").agg(F.min("at").alias("first")), ["sha"]).select("sha", name, (F.col("at") - F.col("first")).alias("k"))
+
+    return numbered(gone, "old_id").join(numbered(come, "new_id"), ["sha", "k"]).select("old_id", "new_id")
 
 
 def dotted(path: Column) -> Column:

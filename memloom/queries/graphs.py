@@ -163,8 +163,11 @@ def tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subtree_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories of at least three file-backed nodes, with the first eight ids."""
     own = vertices(table(spark, sf_dir, "nodes"), "source_path", "source_kind").where("source_kind = 'derived_from_file' and source_path is not null").withColumn("subtree", subtree(F.col("source_path"), 2))
-    rank = F.row_number().over(Window.partitionBy("subtree").orderBy("id"))
-    return own.withColumn("r", rank).groupBy("subtree").agg(F.count(F.lit(1)).alias("nodes"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 8, F.col("id")))), "\n").alias("sample")).where("nodes >= 3")
+    counts = own.groupBy("subtree").agg(F.count(F.lit(1)).alias("nodes")).where("nodes >= 3")
+    # Cut to the first eight in every task before any directory is gathered.
+    first = own.select("subtree", "id").withColumn("r", F.row_number().over(Window.partitionBy("subtree").orderBy("id"))).where("r <= 8")
+    sample = first.groupBy("subtree").agg(F.array_join(F.sort_array(F.collect_list("id")), "\n").alias("sample"))
+    return counts.join(sample, "subtree").select("subtree", "nodes", "sample")
 
 
 QUERIES = {

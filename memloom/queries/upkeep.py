@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from memloom.functions.text import id_tail
 from memloom.operators import upkeep
+from memloom.operators.actions import applied, judged
 from memloom.operators.graph import resolved
+from memloom.operators.ordering import global_positions
 from memloom.plans import config
 from memloom.plans.frames import edges, vertices
 from memloom.plans.retrieve import graph_conductance, pack_text, retrieve
-from memloom.queries.graphs import export_degree
-from memloom.queries.learning import _DEG, _RES, _SAL, digest_top
+from memloom.queries.graphs import export_degree, protected_nodes
+from memloom.queries.learning import _DEG, _PROT, _RES, _SAL, digest_top
 from memloom.queries.reconciling import queue_refresh
 from memloom.queries.retrieval import _START, BASE, GRAPH, _active, _asked, _exact, _packed, _ppr, retrieve_pack
 from memloom.session import table
@@ -107,7 +109,50 @@ def bare_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.bare_targets(named.join(ids.select(F.col("id").alias("target")), "target", "left_anti"), ids)
 
 
-QUERIES = {f.__name__: f for f in (audit_buckets, gaps_report, doc_coverage, search_nodes, node_lookup, embedding_text, coactivated_in_pack, pack_markdown, digest_markdown, commit_stale, fold_log, bare_repair)}
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions as a judge might write them, from judged pairs and the states of nodes: all eleven kinds, numbered in the order of their ids."""
+    pairs = table(spark, sf_dir, "duplicate_pairs").where("verdict is not null and a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "verdict").distinct()
+    n = F.length("a") + F.length("b")
+    kinds = F.element_at(F.array(*map(F.lit, ("supersede", "dispute", "keep_both_with_context", "ask_user"))), (n % 4 + 1).cast("int"))
+    lists = F.col("verdict") != "same"
+    made = pairs.select(
+        F.when(~lists, F.when(n % 5 == 0, "summarize_episodes").otherwise("merge")).otherwise(kinds).alias("action"), F.when(~lists & (n % 5 == 0), F.concat(F.lit("note:digest/"), "a")).when(lists & (n % 4 != 0), F.lit(None).cast("string")).otherwise(F.col("a")).alias("id"),
+        F.when(lists & (n % 4 != 0), F.array("a", "b")).otherwise(F.array("b")).alias("others"), F.when(~lists & (n % 5 == 0), "digest").alias("value"), (n % 7 == 0).alias("force"),
+    )
+    nodes = vertices(table(spark, sf_dir, "nodes"), "type", "status", "summary")
+    none = F.array().cast("array<string>")
+    kind = F.when(F.col("status") == "captured", "promote").when(F.col("status") == "stale", F.when(F.length("id") % 2 == 0, "retire").otherwise("shorten")).when(F.col("status") == "disputed", "reject").when(F.col("type") == "overview", "introduce_subhub")
+    single = nodes.withColumn("action", kind).where("action is not null").select(
+        "action", F.when(F.col("action") == "introduce_subhub", F.concat(F.lit("hub:sub/"), "id")).otherwise(F.col("id")).alias("id"), F.when(F.col("action") == "introduce_subhub", F.array("id")).otherwise(none).alias("others"),
+        F.when(F.col("action") == "promote", "decision").when(F.col("action") == "shorten", F.substring(F.coalesce("summary", F.lit("")), 1, 20)).when(F.col("action") == "introduce_subhub", "top").alias("value"), F.lit(False).alias("force"),
+    )
+    rows = made.unionByName(single)
+    return global_positions(rows, [F.col("action"), F.col("id"), F.col("others"), F.col("value"), F.col("force")], "seq", "actions")
+
+
+def action_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many actions of each kind are applied, and what stops the others."""
+    done = judged(_actions(spark, sf_dir), vertices(table(spark, sf_dir, "nodes")), protected_nodes(spark, sf_dir))
+    return done.groupBy("action", "outcome").agg(F.count(F.lit(1)).alias("actions"))
+
+
+def applied_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that the actions change, archive or make."""
+    nodes = vertices(table(spark, sf_dir, "nodes"), "type", "status", "summary")
+    done = judged(_actions(spark, sf_dir), nodes, protected_nodes(spark, sf_dir))
+    state = applied(done, nodes)["state"]
+    old = nodes.select("id", F.col("type").alias("t"), F.col("status").alias("s"), F.col("summary").alias("x"), F.lit(True).alias("old"))
+    changed = state.join(old, "id", "left").where("old is null or archived is not null or moved_to is not null or not (type <=> t and status <=> s and summary <=> x)")
+    return changed.select("id", "type", "status", "summary", F.col("archived").isNotNull().alias("archived"), "moved_to")
+
+
+def action_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that verdicts leave behind."""
+    nodes = vertices(table(spark, sf_dir, "nodes"), "type", "status", "summary")
+    return applied(judged(_actions(spark, sf_dir), nodes, protected_nodes(spark, sf_dir)), nodes)["edges"]
+
+
+QUERIES = {f.__name__: f for f in (audit_buckets, gaps_report, doc_coverage, search_nodes, node_lookup, embedding_text, coactivated_in_pack, pack_markdown, digest_markdown, commit_stale, fold_log, bare_repair, action_outcomes, applied_actions, action_edges)}
 
 _G = f"with recursive {GRAPH}"
 _PACKED = BASE + _ppr(_START) + _active() + _packed()
@@ -116,7 +161,29 @@ _LINE = _packed().split("rd as (select id, tier, ", 1)[1].split(" line from ln)"
 from memloom.queries.learning import _DIS  # noqa: E402
 from memloom.queries.reconciling import _QUEUE  # noqa: E402
 
+_ACT = f"""{_G}, {_RES}, {_DEG}, {_PROT}, jp as (select distinct least(a, b) a, greatest(a, b) b, verdict, (length(a) + length(b)) n from duplicate_pairs where verdict is not null and a is not null and b is not null and a <> b),
+ac as (select case when verdict = 'same' then case when n % 5 = 0 then 'summarize_episodes' else 'merge' end else ['supersede', 'dispute', 'keep_both_with_context', 'ask_user'][n % 4 + 1] end act,
+  case when verdict = 'same' and n % 5 = 0 then 'note:digest/' || a when verdict <> 'same' and n % 4 <> 0 then null else a end id, case when verdict <> 'same' and n % 4 <> 0 then [a, b] else [b] end others, case when verdict = 'same' and n % 5 = 0 then 'digest' end val, n % 7 = 0 forced from jp
+ union all select act, case act when 'introduce_subhub' then 'hub:sub/' || id else id end, case act when 'introduce_subhub' then [id] else [] end, case act when 'promote' then 'decision' when 'shorten' then substr(coalesce(summary, ''), 1, 20) when 'introduce_subhub' then 'top' end, false
+ from (select id, summary, case when status = 'captured' then 'promote' when status = 'stale' then case when length(id) % 2 = 0 then 'retire' else 'shorten' end when status = 'disputed' then 'reject' when type = 'overview' then 'introduce_subhub' end act from vx) where act is not null),
+s0 as (select *, row_number() over (order by act, id nulls first, others, val nulls first, forced) seq from ac), tg as (select seq, unnest(others) t, generate_subscripts(others, 1) k from s0),
+tt2 as (select seq, list(t order by k) filter (t in (select id from vx)) th, bool_or(t in (select id from pr)) pb from tg group by 1), sq as (select s0.*, coalesce(th, []) th, coalesce(pb, false) pb from s0 left join tt2 using (seq)),
+jd as (select *, case when not forced and (act in ('shorten', 'retire') and id in (from pr) or act in ('merge', 'summarize_episodes') and pb) then 'skipped_protected'
+  when case when act in ('dispute', 'ask_user', 'keep_both_with_context') then len(th) < 2 when act = 'supersede' then id not in (select id from vx) or len(th) < 1 when act in ('summarize_episodes', 'introduce_subhub') then false else id not in (select id from vx) end then 'skipped_missing' else 'applied' end outcome from sq),
+okk as (select * from jd where outcome = 'applied'), ee as (select seq, act, id, val, unnest(th) target from okk),
+ns as (select id, arg_max(s, seq) s from (select id, seq, case act when 'reject' then 'rejected' else 'active' end s from okk where act in ('reject', 'promote') union all select target, seq, case act when 'supersede' then 'superseded' else 'disputed' end from ee where act in ('supersede', 'dispute', 'ask_user')) group by 1),
+nt as (select id, arg_max(val, seq) t from okk where act = 'promote' group by 1), nx as (select id, arg_max(val, seq) x from okk where act = 'shorten' group by 1),
+gn as (select distinct id from (select id from okk where act = 'retire' union all select target from ee where act in ('merge', 'summarize_episodes') and target <> id)),
+mv as (select target drop_id, min(id) keep_id from ee where act in ('merge', 'summarize_episodes') and target <> id group by 1),
+wl as (select drop_id, keep_id cur, 1 d from mv union all select wl.drop_id, mv.keep_id, d + 1 from wl join mv on mv.drop_id = wl.cur where d < 1000), sv as (select drop_id, cur from wl where cur not in (select drop_id from mv)),
+nw as (select id, case act when 'introduce_subhub' then 'hub' else 'section' end ty, case act when 'summarize_episodes' then val end sm from okk where act in ('summarize_episodes', 'introduce_subhub') and id not in (select id from vx) qualify row_number() over (partition by id order by seq desc) = 1)"""
+
 SQL = {
+    "action_outcomes": f"{_ACT} select act as action, outcome, count(*) actions from jd group by 1, 2",
+    "applied_actions": f"""{_ACT}, ss as (select id, type, status, summary, true old from vx union all select id, ty, 'active', sm, false from nw)
+select ss.id, coalesce(nt.t, type) as type, coalesce(ns.s, status) status, coalesce(nx.x, summary) summary, gn.id is not null archived, sv.cur moved_to from ss left join ns on ns.id = ss.id left join nt on nt.id = ss.id left join nx on nx.id = ss.id left join gn on gn.id = ss.id left join sv on sv.drop_id = ss.id
+where not old or gn.id is not null or sv.cur is not null or coalesce(nt.t, type) is distinct from type or coalesce(ns.s, status) is distinct from status or coalesce(nx.x, summary) is distinct from summary""",
+    "action_edges": f"{_ACT} select id src, 'supersedes' rel, target dst from ee where act = 'supersede' and id <> target union select th[1], 'contradicts', unnest(th[2:]) from okk where act in ('dispute', 'ask_user', 'keep_both_with_context')",
     "audit_buckets": f"""{_QUEUE}, od as (select * replace (case when length(coalesce(id, '') || coalesce(summary, '')) % 83 = 0 then null else id end as id, case when length(coalesce(id, '') || coalesce(summary, '')) % 89 = 0 then 'lost' else bucket end as bucket,
   case when length(coalesce(id, '') || coalesce(summary, '')) % 97 = 0 then '<<<<<<< ours' || chr(10) || summary else summary end as summary) from nodes), ov as (select distinct on (id) * from od where id is not null),
 f as (select 'unparsable' anomaly from od where id is null union all select 'duplicate_ids' from (select id from od where id is not null group by 1 having count(*) > 1)

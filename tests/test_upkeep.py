@@ -83,3 +83,29 @@ def test_queue_of_one_directory(spark):
     _, want = _advance((None, 0, 0, 0), [len(t) for _, _, t in rows], [p for p, _, _ in rows], 7, 60)
     assert {x["id"]: x["batch"] for x in got.collect()} == {i: b for (_, i, _), b in zip(rows, want, strict=True)}
     assert queue_batches(spark.createDataFrame([], "source_path string, id string, text string")).isEmpty()
+
+
+def test_actions_and_guards(spark):
+    from memloom.operators.actions import ACTIONS, applied, judged
+
+    nodes = spark.createDataFrame([(x, "note", "active", x.upper()) for x in "abcdefgh"], "id string, type string, status string, summary string")
+    barred = spark.createDataFrame([("b",), ("g",)], "id string")
+    rows = [
+        (1, "merge", "a", ["b"], None, False), (2, "merge", "a", ["b", "gone"], None, True), (3, "merge", "c", ["a"], "x", None), (4, "shorten", "g", None, "s", None), (5, "shorten", "c", [], "s1", None), (6, "shorten", "c", [], "s2", None),
+        (7, "promote", "d", None, "decision", None), (8, "reject", "d", None, None, None), (9, "dispute", None, ["e", "nope"], None, None), (10, "dispute", None, ["e", "f", "nope", "g"], None, None), (11, "supersede", "e", ["f"], None, None), (12, "supersede", "e", ["e"], None, None),
+        (13, "summarize_episodes", "new", ["h"], "all of it", None), (14, "introduce_subhub", "hub", ["d"], "top", None), (15, "retire", "missing", None, None, None), (16, "retire", None, None, None, None), (None, "retire", "e", None, None, None), (17, "keep_both_with_context", None, ["c", "d"], None, None),
+    ]
+    actions = spark.createDataFrame(rows, ACTIONS)
+    done = judged(actions, nodes, barred)
+    got = {r["seq"]: r["outcome"] for r in done.collect()}
+    assert {k: v for k, v in got.items() if v != "applied"} == {1: "skipped_protected", 4: "skipped_protected", 9: "skipped_missing", 12: "skipped_missing", 15: "skipped_missing", 16: "skipped_missing"} and len(got) == 17
+    out = applied(done, nodes)
+    state = {r["id"]: tuple(r)[1:] for r in out["state"].collect()}
+    assert state["b"] == ("note", "active", "B", 2, "c") and state["a"] == ("note", "active", "A", 3, "c") and state["c"] == ("note", "active", "s2", None, None)
+    assert state["d"] == ("decision", "rejected", "D", None, None) and state["f"][1] == "superseded" and state["e"][1] == "disputed" and state["h"][3:] == (13, "new")
+    assert state["new"] == ("section", "active", "all of it", None, None) and state["hub"][0] == "hub" and len(state) == 10
+    assert {tuple(r) for r in out["edges"].collect()} == {("e", "contradicts", "f"), ("e", "contradicts", "g"), ("e", "supersedes", "f"), ("c", "contradicts", "d")}
+    assert [tuple(r) for r in out["members"].collect()] == [("d", "top", "hub")] and sorted(r["seq"] for r in out["trail"].collect()) == [8, 10, 11, 17]
+    off = {r["seq"]: r["outcome"] for r in judged(actions, nodes, barred, enabled=False).collect()}
+    assert off[3] == off[13] == off[14] == "skipped_disabled" and off[2] == "applied" and off[7] == "applied"
+    assert applied(judged(actions.where("false"), nodes, barred), nodes)["state"].where("archived is not null").isEmpty()
