@@ -9,7 +9,7 @@ from memloom.llm.conversations import rebuild_conversations
 from memloom.llm.cooccurrence import counting_links, item_pairs
 from memloom.llm.leakage import leaked_items
 from memloom.llm.neardup import near_duplicates, record_pairs, unfiled_nodes
-from memloom.llm.quality import outlier_scores
+from memloom.llm.quality import outlier_scores, tail_probabilities
 from memloom.llm.splitting import LIMIT, OVERLAP, split_units
 from memloom.llm.tokenizer import decode_corpus, encode_corpus
 from memloom.session import table
@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of targets with a common source, with counts, lift and conviction."""
     found = item_pairs(counting_links(table(spark, sf_dir, "links")), "source", "target")
-    return found.select("item_a", "item_b", "common", "count_a", "count_b", "baskets", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
+    return found.select("item_a", "item_b", "common", "count_a", "count_b", "baskets", F.round("lift", 9).alias("lift"), F.round("conviction", 9).alias("conviction"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,14 +97,23 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pairs, p3_found, p3_pieces, p3_rejoined, p5_found, p6_found, p6_conversations, p8_ids, p8_roundtrip, p9_found, p9_items, p9_edits, p10_found, p10_scores)}
+def p10_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact tail probabilities, by language tag, of three statistics that SQL counts alike: characters, digits and lines of the documents with text."""
+    tag = F.regexp_extract(F.lower(F.trim(F.coalesce("lang", F.lit("")))), "^[a-z]{2,3}", 0)
+    size = F.length("text")
+    stats = {"chars": size, "digits": size - F.length(F.regexp_replace("text", "[0-9]", "")), "lines": size - F.length(F.regexp_replace("text", "\n", "")) + 1}
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(tag.alias("tag"), F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), c.cast("bigint").alias("value")) for k, c in stats.items()])).alias("s")).select("tag", "s.stat", "s.value")
+    return tail_probabilities(rows, ["tag", "stat"], "value").select("tag", "stat", "value", F.round("at_most", 9).alias("at_most"), F.round("at_least", 9).alias("at_least"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pairs, p3_found, p3_pieces, p3_rejoined, p5_found, p6_found, p6_conversations, p8_ids, p8_roundtrip, p9_found, p9_items, p9_edits, p10_found, p10_scores, p10_tails)}
 
 _LINKS = "select distinct source s, target t from links where coact > 0 and target is not null and target <> source"
 _PAIRS = f"""
 with l as ({_LINKS}), n as (select t, count(*) c from l group by t), m as (select count(distinct s) b from l),
 p as (select x.t item_a, y.t item_b, count(*) common from l x join l y on x.s = y.s and x.t < y.t group by 1, 2)
-select item_a, item_b, common, a.c count_a, b.c count_b, m.b baskets, round(common * m.b::double / (a.c::double * b.c), 6) lift,
- case when common < a.c then round((1 - b.c / m.b::double) / (1 - common / a.c::double), 6) end conviction
+select item_a, item_b, common, a.c count_a, b.c count_b, m.b baskets, round(common * m.b::double / (a.c::double * b.c), 9) lift,
+ case when common < a.c then round((1 - b.c / m.b::double) / (1 - common / a.c::double), 9) end conviction
 from p join n a on a.t = item_a join n b on b.t = item_b cross join m"""
 
 SQL = {
@@ -145,3 +154,9 @@ dw as (select distinct doc_id, k, ws[p : p + k - 1] g from (select doc_id, ws, k
 select distinct doc_id, item_id from iw join dw using (k, g)""",
 }
 SQL["p9_items"] = f"select item_id, count(*) documents from ({SQL['p9_found']}) group by 1"
+SQL["p6_conversations"] = SQL["p6_found"].replace("'string_agg', ' '", "'string_agg', chr(10)").replace("pos, message_id from v join", "pos, message_id, spk as role, said as content from v join")
+SQL["p10_tails"] = r"""
+with d as (select regexp_extract(lower(trim(coalesce(lang, ''))), '^[a-z]{2,3}', 0) tag, text t from documents where text is not null),
+v as (select tag, 'chars' stat, length(t) v from d union all select tag, 'digits', length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) from d union all select tag, 'lines', length(t) - length(replace(t, chr(10), '')) + 1 from d)
+select tag, stat, cast(v as bigint) as value, round(max(c), 9) at_most, round(max(e), 9) at_least
+from (select *, cume_dist() over (partition by tag, stat order by v) c, cume_dist() over (partition by tag, stat order by v desc) e from v) group by 1, 2, 3"""

@@ -79,3 +79,24 @@ def test_rounds_stay_few():
             if allowed(span, k) == k:
                 assert hash_plan(span, k, 0.99)[1] <= 100, (span, k)
     assert edit_distance([1, 2, 3], [2, 3, 4]) == 2 and allowed(5, 2) == 0 and allowed(12, 2) == 2
+
+
+def test_recall_in_the_corpus(spark):
+    """Every item of the evaluation set with twelve words or more, planted with two edits into a document of the corpus."""
+    r = random.Random(3)
+    folder = "/root/testdata/sf0.01"
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{folder}/eval_items.parquet").collect()]
+    docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").orderBy("doc_id").collect()]
+    vocabulary = sorted({w for _, t in docs[:200] for w in words(t)})
+    planted, rows = [], []
+    asked = [x for x in items if len(words(x[1])) >= 12]
+    for n, (doc, text) in enumerate(docs):
+        if n < len(asked):
+            text = f"{text}\n{' '.join(edited(r, words(asked[n][1]), vocabulary, 2))}\n{text}"
+            planted.append((doc, asked[n][0]))
+        rows.append((doc, text))
+    got = leaked_items(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), spark.createDataFrame(asked, "item_id bigint, text string"), window=None, edits=2)
+    found = {(x["doc_id"], x["item_id"]) for x in got.collect()}
+    recall = sum(p in found for p in planted) / len(planted)
+    print("recall", recall, "of", len(planted))
+    assert len(planted) > 50 and recall >= 0.9
