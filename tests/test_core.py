@@ -147,7 +147,7 @@ def test_similarity_against_brute_force(spark):
         assert {(x["id"], x["other"]) for x in cosine_top(v, 4, 0.3, block).collect()} == want
 
 
-def test_lexical_nominees_of_all_eligible_rows(spark):
+def test_lexical_candidates_of_all_eligible_rows(spark):
     r = random.Random(11)
     docs = [(f"n{i:02}", [r.choice("apple birch cedar daisy elder fern grape hazel iris jade kelp lime".split()) for _ in range(r.randrange(1, 6))] + ["common", "to"], r.choice(["code", "doc", None]), r.choice(["a.md", "b.md", "", None])) for i in range(60)]
     known = [(f"n{a:02}", f"n{b:02}") for a, b in (r.sample(range(60), 2) for _ in range(200))] + [("n01", "gone"), (None, "n02")]
@@ -171,13 +171,13 @@ def test_lexical_nominees_of_all_eligible_rows(spark):
 
 
 def test_nominees_see_nodes_of_files(spark, tmp_path):
-    from memloom.queries.learning import lexical_nominees
+    from memloom.queries.learning import lexical_candidates
 
     node = "id string, summary string, status string, bucket string, source_path string, source_kind string, body string, tags array<string>, part_of array<struct<topic: string, w: double>>, edges array<struct<rel: string, to: string, w: double, coact: int, last_used: string, origin: string>>"
     rows = [(f"doc:x{i}", s, st, "doc", f"{i}.md", "derived_from_file", None, None, None, None) for i, (s, st) in enumerate([("red kite bird", None), ("red kite sky blue green", "active"), ("red kite bird", "stale"), (" ", None)])]
     spark.createDataFrame(rows, node).write.parquet(f"{tmp_path}/nodes.parquet")
     spark.createDataFrame([], "a string, b string, verdict string").write.parquet(f"{tmp_path}/duplicate_pairs.parquet")
-    assert {tuple(r)[:3] for r in lexical_nominees(spark, str(tmp_path)).collect()} == {("doc:x0", "doc:x1", 1), ("doc:x1", "doc:x0", 1)}
+    assert {tuple(r)[:3] for r in lexical_candidates(spark, str(tmp_path)).collect()} == {("doc:x0", "doc:x1", 1), ("doc:x1", "doc:x0", 1)}
 
 
 def test_units(spark):
