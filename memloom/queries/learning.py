@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from memloom.functions.text import slug, tokens
 from memloom.operators import learning as ops, upkeep
@@ -38,14 +38,16 @@ def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_top(docs, link_pairs(spark, sf_dir), SETTINGS["linker_top"])
 
 
-def _episodic(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return vertices(table(spark, sf_dir, "nodes"), "type", "source_kind", *columns).where(F.col("type").isin(*SETTINGS["episodic"]) & (F.coalesce("source_kind", F.lit("")) != "derived_from_file"))
+def _episodic() -> Column:
+    return F.col("type").isin(*SETTINGS["episodic"]) & (F.coalesce("source_kind", F.lit("")) != "derived_from_file")
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodic nodes whose summary and first 400 characters of body have 0.82 of their words in common."""
     said = F.concat(F.coalesce("summary", F.lit("")), F.lit(" "), F.substring(F.coalesce("body", F.lit("")), 1, 400))
-    found = token_near_duplicates(_episodic(spark, sf_dir, "summary", "body").select("id", tokens(said).alias("tokens")), SETTINGS["near_duplicate"])
+    # What a node says is cut, and left out where it does not count, before the rows of an id meet.
+    nodes = table(spark, sf_dir, "nodes").withColumn("said", F.when(_episodic(), said))
+    found = token_near_duplicates(vertices(nodes, "said").where("said is not null").select("id", tokens(F.col("said")).alias("tokens")), SETTINGS["near_duplicate"])
     return found.select("a", "b", F.round("sim", 6).alias("sim"))
 
 

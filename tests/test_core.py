@@ -147,6 +147,30 @@ def test_similarity_against_brute_force(spark):
         assert {(x["id"], x["other"]) for x in cosine_top(v, 4, 0.3, block).collect()} == want
 
 
+def shuffled(spark):
+    """MB that the session's tasks have written for shuffles so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite() / 1e6
+
+
+def test_near_duplicates_write_no_pairs_that_are_only_possible(spark):
+    # All sets share words with many others, few are similar: what is written grows with the sets, not with their pairs.
+    r = random.Random(3)
+    sets = {i: set(r.sample(range(400), 40)) for i in range(2_000)}
+    for i in range(0, 100, 10):
+        sets[2_000 + i] = sets[i] - {next(iter(sets[i]))} | {400 + i}
+        sets[3_000 + i] = set(sets[i])
+    sets[4_000], sets[4_001], sets[4_002] = {1}, {1}, {1, 2}
+    df = spark.createDataFrame([(k, [f"word{x}" for x in v]) for k, v in sets.items()], "id int, tokens array<string>")
+    before = shuffled(spark)
+    got = {(x["a"], x["b"]): x["sim"] for x in token_near_duplicates(df, 0.82).collect()}
+    assert shuffled(spark) - before < 12
+    few = [k for k in sets if k < 100 or k >= 2_000]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in few for b in few if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.82}
+    assert got == want and len(got) == 31
+    # The same through crowded tiles.
+    assert {(x["a"], x["b"]) for x in token_near_duplicates(df.where("id < 100 or id >= 2000"), 0.82, tile=2).collect()} == set(want)
+
+
 def test_lexical_candidates_of_all_eligible_rows(spark):
     r = random.Random(11)
     docs = [(f"n{i:02}", [r.choice("apple birch cedar daisy elder fern grape hazel iris jade kelp lime".split()) for _ in range(r.randrange(1, 6))] + ["common", "to"], r.choice(["code", "doc", None]), r.choice(["a.md", "b.md", "", None])) for i in range(60)]
