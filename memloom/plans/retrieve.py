@@ -55,10 +55,13 @@ def with_conflicts(teleport: DataFrame, conflicts: DataFrame) -> DataFrame:
     return teleport.unionByName(extra.select("case_id", "id", "mass"))
 
 
+def status_prior() -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in config.STATUS_PRIORS.items() for x in p]), F.coalesce("status", F.lit("active"))), F.lit(1.0))
+
+
 def activations(masses: DataFrame, nodes: DataFrame, lift: bool = False) -> DataFrame:
     """(case_id, id, activation): mass times the prior of the node's status, rescaled so that the top of a case is 1. Rounded to 12 digits, so that equal nodes tie."""
-    prior = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in config.STATUS_PRIORS.items() for x in p]), F.coalesce("status", F.lit("active"))), F.lit(1.0))
-    scaled = masses.join(vertices(nodes, "status"), "id").select("case_id", "id", (F.col("mass") * (F.lit(1.0) if lift else prior)).alias("a"))
+    scaled = masses.join(vertices(nodes, "status"), "id").select("case_id", "id", (F.col("mass") * (F.lit(1.0) if lift else status_prior())).alias("a"))
     peak = small_side(scaled.groupBy("case_id").agg(F.max("a").alias("peak")), "peaks")
     return scaled.join(peak, "case_id").select("case_id", "id", F.round(F.col("a") / F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0), 12).alias("activation"))
 

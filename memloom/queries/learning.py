@@ -13,6 +13,7 @@ from memloom.operators.snapshots import edited_files
 from memloom.operators.skew import small_side
 from memloom.plans import config
 from memloom.plans.frames import edges, memberships, vertices
+from memloom.plans.held import held
 from memloom.plans.retrieve import retrieve
 from memloom.queries.graphs import protected_nodes
 from memloom.queries.reconciling import _D, _F, _U, verify_claims
@@ -232,7 +233,7 @@ def transfer_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = materialize(resolved(edges(nodes).where("rel = 'exemplifies' and length(src) % 4 <> 0"), vertices(nodes)).select("src", "dst").distinct(), "confirmed")
     gold = right.select(F.col("src").alias("case_id"), F.col("dst").alias("id")).unionByName(right.alias("x").join(right.select(F.col("src").alias("id"), "dst"), "dst").where("id <> src").select(F.col("src").alias("case_id"), "id")).distinct()
     asked = vertices(nodes, "summary").join(right.select(F.col("src").alias("id")).distinct(), "id").select(F.col("id").alias("case_id"), F.coalesce(F.nullif(F.trim("summary"), F.lit("")), "id").alias("query"))
-    packed = retrieve(nodes, asked, _exact())["pack"].select("case_id", "id", F.lit(True).alias("p"))
+    packed = held(nodes, asked, gold, _exact()).withColumn("p", F.lit(True))
     return gold.join(packed, ["case_id", "id"], "left").groupBy("case_id").agg(F.count(F.lit(1)).alias("gold"), F.round(F.count("p") / F.count(F.lit(1)), 3).alias("recall"))
 
 
